@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: A class with more rows than total/HOT_CLASSES is hot; there can be no more than HOT_CLASSES such classes.
 HOT_CLASSES = 20_000
 
@@ -88,6 +90,12 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     return materialise(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), tag)
 
 
+def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(*more, doc_id, text) of docs for Python stages, with the package sent to the workers."""
+    ship(docs.sparkSession)
+    return docs.select(*more, F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def crc_mod5(col: str = "doc_id"):
     """crc32(doc_id as text) mod 5; 0 marks a held-out row."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5
@@ -95,3 +103,48 @@ def crc_mod5(col: str = "doc_id"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_slices(ids, texts, max_bytes: int = 1 << 20):
+    """(ids, texts) as string arrays without nulls, cut into runs of about max_bytes; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if len(texts) == 0:
+        return
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
+        yield ids.slice(at, to - at), texts.slice(at, to - at)
+        at = to
+
+
+def utf8_buffer(texts):
+    """(bytes as uint8, offsets) of a large_string array, without a copy."""
+    import numpy as np
+
+    _, offsets, data = texts.buffers()
+    o = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[o[0] : o[-1]], o - o[0]
+
+
+def words_of(texts):
+    """(flat words, word count of each text); words are maximal runs of bytes other than 0x20 and 0x09-0x0D."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.ascii_split_whitespace(texts)
+    offsets = parts.offsets.to_numpy()
+    flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
+    full = pc.greater(pc.binary_length(flat), 0)
+    mask = full.to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(mask)])
+    counts = np.diff(before[offsets - offsets[0]])
+    flat = flat.filter(full)
+    return (flat if isinstance(flat, pa.Array) else flat.combine_chunks()), counts

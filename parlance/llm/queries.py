@@ -1,10 +1,15 @@
 """Queries of the training-data operators and their SQL, for the driver's registry."""
 
-from . import chat, exact_dedup, url_filters
+from . import chat, exact_dedup, media, packing, quality, sentencepiece_fst, url_filters, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op2_warc": warc.query,
     "op4_chat_formatting": chat.query,
+    "op5_media_columns": media.query,
+    "op6_sentencepiece": sentencepiece_fst.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op9_packing": packing.query,
     "op10_url_filters": url_filters.query,
 }
 
