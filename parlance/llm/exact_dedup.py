@@ -98,6 +98,21 @@ def exact_dedup(
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup drops; all columns stay."""
+    found = common.materialise(exact_dedup(docs, id_col, text_col), "dedup-result")
+    key = [F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_digest")]
+    kept = found.filter("kept").select(*key)
+    at = lambda other: docs[id_col].eqNullSafe(other["k_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == other["k_digest"])
+    again = found.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    if again.isEmpty():
+        return docs.join(kept, at(kept), "left_semi")
+    # Repeated rows of one id and text: one of them stays.
+    once = kept.join(again, ["k_id", "k_digest"], "left_semi")
+    rest = kept.join(again, ["k_id", "k_digest"], "left_anti")
+    return docs.join(rest, at(rest), "left_semi").unionByName(docs.join(once, at(once), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 

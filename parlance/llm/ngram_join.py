@@ -550,5 +550,12 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     return found.select(*cols).unionByName(alone.select(*cols))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document, that of the smallest id, of each group of similar ones; all columns stay."""
+    found = similar_documents(docs, n, percent, id_col, text_col)
+    stay = common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "ngram-stay")
+    return docs.join(stay, docs[id_col] == stay["stays"], "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(common.table(spark, sf_dir, "documents"))

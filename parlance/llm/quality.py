@@ -156,6 +156,22 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return common.source(docs, id_col, text_col).mapInArrow(_scored(model), "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score reaches threshold."""
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows, texts in common.text_slices(pa.array(np.arange(len(batch))), batch.column(text_col)):
+                value = np.full(len(rows), model["constant"]) if "constant" in model else forward(model, *encode(*common.utf8_buffer(texts)))[-1]
+                yield batch.slice(rows[0].as_py(), len(rows)).filter(pa.array(value >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, common.table(spark, sf_dir, "labels")))

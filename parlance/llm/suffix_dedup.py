@@ -374,8 +374,14 @@ def _cut(length: int, keep_text: bool):
         names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
         kinds = [pa.int64()] * 5 + [pa.string()] * (1 + keep_text)
         for batch in batches:
-            out, held = [[] for _ in names], 0
-            for rid, doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text", "spans")), strict=True):
+            out, held, since = [[] for _ in names], 0, 0
+
+            def made(to, batch=batch):
+                more = [batch.column("others").slice(since, to - since)] if keep_text else []
+                return pa.RecordBatch.from_arrays([*(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), *more], names + ["others"] * keep_text)
+
+            for i in range(len(batch)):
+                rid, doc_id, text, spans = (batch.column(c)[i].as_py() for c in ("rid", "doc_id", "text", "spans"))
                 data = text.encode()
                 gone, runs, kept = 0, 0, data
                 if spans:
@@ -393,9 +399,9 @@ def _cut(length: int, keep_text: bool):
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
                 if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
-                    out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
+                    yield made(i + 1)
+                    out, held, since = [[] for _ in names], 0, i + 1
+            yield made(len(batch))
 
     return run
 
@@ -411,7 +417,9 @@ def _bucketed(df: DataFrame, parts: int, tag: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD) -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text).
+    """One row per row of docs: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With keep_text also kept, the remaining text, and others, a struct of docs' other columns.
 
     Every byte is removed that is covered by a string of `length` bytes that also starts anywhere else, in the same
     document or another; matches never cross documents and overlaps count. Null counts as empty. Repeated rows remove
@@ -419,7 +427,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
-    source = common.source(docs, id_col, text_col, F.monotonically_increasing_id().alias("rid"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    carried = [F.struct(*others).alias("others") if others else F.lit(None).cast("string").alias("others")] if keep_text else []
+    source = common.source(docs, id_col, text_col, F.monotonically_increasing_id().alias("rid"), *carried)
     texts = _bucketed(source.withColumn("text", F.coalesce("text", F.lit(""))), parts, "suffix_texts")
 
     found = common.materialise(texts.select("rid", "text").mapInArrow(_anchor_rows(length), "rid long, h long, first int, last int"), "suffix-anchors")
@@ -451,9 +461,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # Back to the documents; a context's windows are few ranges, its occurrences may be many, so these are not grouped.
     spans = contexts.select("h", "digest", "rid", "first").join(ranges, ["h", "digest"]).select("rid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    kind = RESULT + (", kept string" if keep_text else "")
-    return texts.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(_cut(length, keep_text), kind)
+    kind = RESULT + (f", kept string, others {texts.schema['others'].dataType.simpleString()}" if keep_text else "")
+    columns = ["rid", "doc_id", "text", "spans"] + ["others"] * keep_text
+    return texts.join(spans, "rid", "left").select(*columns).mapInArrow(_cut(length, keep_text), kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents")).drop("rid")
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with what repeats cut from the text, and size_col, if docs has it, counted anew; all rows and columns stay."""
+    cut = remove_repeats(docs, length, id_col, text_col, keep_text=True)
+    own = {id_col: F.col("doc_id"), text_col: F.col("kept"), size_col: F.length("kept").cast("bigint")}
+    return cut.select(*(own.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
