@@ -50,7 +50,7 @@ def replace_names(text: Column, aliases: Column, unicode_aware: bool = False) ->
     found = F.array_distinct(names_in(text, unicode_aware))
 
     def step(acc: Column, name: Column) -> Column:
-        alias = F.get(F.transform(F.filter(aliases, lambda a: a.person == person_key(name)), lambda a: a.alias), F.lit(0))
+        alias = F.get(F.transform(F.filter(aliases, lambda a: a.person == person_key(name)), lambda a: a["alias"]), F.lit(0))
         return F.regexp_replace(acc, F.concat(F.lit(edge[0]), escape_regex(name), F.lit(edge[1])), F.coalesce(alias, name))
 
     return F.aggregate(found, text, step)
@@ -64,7 +64,7 @@ def deidentify(segments: DataFrame, key: str = "transcript_id", speakers: bool =
     maps = aliases.groupBy(key).agg(F.collect_list(F.struct("person", "alias")).alias("_aliases"))
     out = segments.join(maps, key, "left").withColumn("_aliases", F.coalesce("_aliases", F.array().cast("array<struct<person:string,alias:string>>")))
     if speakers:
-        speaker = F.get(F.transform(F.filter("_aliases", lambda a: a.person == person_key(F.col("speaker_id"))), lambda a: a.alias), F.lit(0))
+        speaker = F.get(F.transform(F.filter("_aliases", lambda a: a.person == person_key(F.col("speaker_id"))), lambda a: a["alias"]), F.lit(0))
         out = out.withColumn("speaker_id", F.when(truthy(F.col("speaker_id")), speaker))
     if in_text:
         out = out.withColumn("text", replace_names(F.col("text"), F.col("_aliases"), unicode_aware))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import BOUNDARY, WS_SET
@@ -51,8 +52,6 @@ def redact_text(text: str, compiled: list) -> tuple[str, list[tuple[str, int, in
 
 def redactor(labels: Labels = Labels()) -> Callable[[Column], Column]:
     """An Arrow-batched function text -> struct<redacted, matches>; offsets are UTF-16 units of the original text."""
-    import pandas as pd
-
     @F.pandas_udf(RESULT)
     def redact(texts: pd.Series) -> pd.DataFrame:
         compiled = _compiled(labels)

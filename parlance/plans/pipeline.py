@@ -10,6 +10,7 @@ from ..operators import merge
 from ..operators.chunk import chunk_text
 from ..operators.read import Conversations, topics_by_relevance
 from ..operators.redact import pii_redact
+from ..shared import materialise
 from .config import Config, build_config, load_config
 from .errors import PipelineConfigError
 from .events import EventLog
@@ -60,9 +61,11 @@ class Engine:
         source = transcripts.select(KEY, F.coalesce("text", F.lit("")).alias("text"))
         chunks = self._chunked(self._redacted(source), context)
         for name, step in steps:
+            if step.branches:
+                chunks = materialise(chunks, "chunks")
             chunks = self._step(chunks, name, step, validation)
             log.write("debug", event="step.planned", step=name)
-        result = self._merged(source, chunks)
+        result = self._merged(source, materialise(chunks, "chunks"))
         log.write("info", event="pipeline.planned", steps=len(steps))
         return result if (mode or config.mode) == "model" else result.to_records()
 

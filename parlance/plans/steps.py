@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import clean, deidentify, extract, segment
+from ..shared import materialise
 from ..shipping import ship
 
 SEGMENT = "struct<id:string,text:string,speaker_id:string>"
@@ -39,6 +40,8 @@ class Step(ABC):
     input_schema: dict | None = None
     #: Later steps are left out, without a status, where a terminal step succeeds.
     terminal: bool = False
+    #: The step reads the chunks more than once, so they are written before it.
+    branches: bool = False
 
     @abstractmethod
     def apply(self, chunks: DataFrame, run: Run) -> DataFrame: ...
@@ -74,6 +77,7 @@ class DeIdentify(Step):
     speakers: bool = True
     in_text: bool = True
     name = "de-identify"
+    branches = True
 
     def apply(self, chunks: DataFrame, run: Run) -> DataFrame:
         done = chunks.withColumn("_error", F.lit(None).cast("string"))
@@ -87,7 +91,7 @@ class DeIdentify(Step):
         def change(s: Column) -> Column:
             speaker, text = s.speaker_id, s.text
             if self.speakers:
-                found = F.get(F.transform(F.filter("_aliases", lambda a: a.person == deidentify.person_key(s.speaker_id)), lambda a: a.alias), F.lit(0))
+                found = F.get(F.transform(F.filter("_aliases", lambda a: a.person == deidentify.person_key(s.speaker_id)), lambda a: a["alias"]), F.lit(0))
                 speaker = F.when(deidentify.truthy(s.speaker_id), found)
             if self.in_text:
                 text = deidentify.replace_names(s.text, F.col("_aliases"), run.unicode_aware)
@@ -101,6 +105,7 @@ class _ModelStep(Step):
     responses: Any = None
     max_segments: int = extract.MAX_SEGMENTS
     kind = ""
+    branches = True
 
     @property
     def prompt_version(self) -> str:
@@ -111,10 +116,9 @@ class _ModelStep(Step):
         return extract.SCHEMA_VERSION
 
     def answered(self, chunks: DataFrame) -> DataFrame:
-        """(keys, response_text, error). A source of outside calls must write its answers before they are read twice."""
-        asked = extract.requests(chunks.filter("not stopped"), (self.kind,), self.max_segments)
-        out = self.responses.respond(asked).select(*KEYS, "response_text", "error")
-        return out.persist() if not hasattr(self.responses, "table") else out
+        """(keys, response_text, error), written once: the answers of outside calls must not be asked for twice."""
+        asked = extract.requests(chunks.filter("not stopped and _invalid is null"), (self.kind,), self.max_segments)
+        return materialise(self.responses.respond(asked).select(*KEYS, "response_text", "error"), f"{self.kind}-responses")
 
     def finish(self, chunks: DataFrame, values: DataFrame, column: str) -> DataFrame:
         """chunks with column from values(keys, _value, _error), appended to what an array column holds."""
@@ -200,12 +204,12 @@ class RowStep(Step):
     def apply(self, chunks: DataFrame, run: Run) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StringType, StructType
+        from pyspark.sql.types import StringType, StructField, StructType
 
         ship(chunks.sparkSession)
         function = self.function
         plain = chunks.withColumn("meeting_context", F.to_json("meeting_context"))
-        schema = StructType(plain.schema.fields).add("_error", StringType())
+        schema = StructType([*plain.schema.fields, StructField("_error", StringType())])
         arrow = to_arrow_schema(schema)
 
         def work(batches):
