@@ -115,3 +115,22 @@ def test_cut_table(spark, sf):
     docs = [tuple(r) for r in common.table(spark, sf, "documents").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in QUERIES["op8_suffix_array_dedup"](spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == brute_cut(docs, 400)
+
+
+def test_suffix_array_and_kasai():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, low in ((1, 97), (2, 97), (9, 0), (50, 0), (700, 0), (700, 97)):
+        t = rng.integers(low, low + 2, n).astype(np.uint8)
+        t[-min(n, 5) :] = low
+        b = t.tobytes()
+        order, rank = suffix_dedup.suffix_array(t)
+        assert order.tolist() == sorted(range(n), key=lambda i: b[i:]) and (order[rank] == np.arange(n)).all()
+        starts = np.unique(np.append(0, rng.integers(0, n, 3)))
+        lcp = suffix_dedup.common_prefixes(t, order, rank, starts, np.diff(np.append(starts, n)), 40)
+
+        def shared(x, y):
+            return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
+
+        assert lcp.tolist() == [0] + [min(40, shared(b[order[k] :], b[order[k - 1] :])) for k in range(1, n)]
