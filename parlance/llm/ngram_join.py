@@ -4,8 +4,9 @@
 2. Pruning: map tasks cut their classes into blocks and send each distinct n-gram of a block once to the n-gram's owner;
    owners tell the blocks which n-grams occur elsewhere too. The overlap of two sets lies in those, so a class with fewer
    than threshold * n of them has no partner and ends here. A frequent n-gram is one entry per block, never one per row.
-3. The others order their n-grams globally (frequent ones last, a bounded list tells how frequent; ties by hash) and
-   meet in candidate groups: components over shared prefix n-grams.
+3. Owners also tell how many classes have an n-gram. The others order their n-grams globally, rare ones first (ties by
+   hash), so that what unlike documents share comes last, and meet in candidate groups: components over shared prefix
+   n-grams.
 4. Each group, in chunks of bounded size, is joined by a prefix tree: sets are paths, a query walks the tree carrying
    the overlap that all sets below a node share, and leaves a subtree when the remaining lengths cannot reach the
    required overlap, or when all below it is linked to the query already. Groups of several chunks take two more
@@ -20,10 +21,9 @@ from . import common
 
 #: Distinct n-grams of a block; a larger document is a block of its own.
 BLOCK = 1_500_000
-#: The global order knows the frequency of at most so many n-grams, the most frequent ones above HEAVY_FROM.
-HEAVY, HEAVY_FROM = 200_000, 16
 #: A chunk of a candidate group, in n-grams and in sets.
 CHUNK_GRAMS, CHUNK_SETS = 2_000_000, 4096
+#: Stands for the class of an n-gram that several classes of its block have.
 ALONE = 0xFFFFFFFF
 
 
@@ -88,7 +88,7 @@ def set_ids(grams, sizes):
     """A signed 64-bit id for each set: two equal sets have one id."""
     import numpy as np
 
-    upto = np.concatenate([[0], np.cumsum(mixed(grams + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)]).astype(np.uint64)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(grams + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)])
     ends = np.cumsum(sizes)
     return mixed((upto[ends] - upto[ends - sizes]) * np.uint64(3) + sizes.astype(np.uint64)).view(np.int64)
 
@@ -143,7 +143,7 @@ def _batch(rows, names=_NAMES, kinds=None):
 
 
 def _blocks(n: int, buckets: int, block_grams: int):
-    """Rows to owners (classes null: grams are (n-gram step, class or ALONE)) and one row of each block itself."""
+    """Rows to owners (classes null: grams are n-gram step, class or ALONE, number of classes) and one row of each block."""
 
     def flush(held, block):
         import numpy as np
@@ -165,13 +165,13 @@ def _blocks(n: int, buckets: int, block_grams: int):
         shared = np.repeat(count > 1, count)
         yield block % buckets, block, _press(cids, sizes.astype(np.int64)), _press(ref[shared], grams[shared])
         single = np.where(count == 1, ref[at], np.uint32(ALONE)).astype(np.uint32)
-        tokens = grams[at]
+        number, tokens = count.astype(np.uint32), grams[at]
         bucket = bucket_of(tokens, buckets)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in range(buckets):
             t = tokens[cuts[b] : cuts[b + 1]]
             if len(t):
-                yield b, block, None, _press(np.diff(t, prepend=np.uint64(0)), single[cuts[b] : cuts[b + 1]])
+                yield b, block, None, _press(np.diff(t, prepend=np.uint64(0)), single[cuts[b] : cuts[b + 1]], number[cuts[b] : cuts[b + 1]])
 
     def run(batches):
         from pyspark import TaskContext
@@ -201,31 +201,36 @@ def bucket_of(tokens, buckets: int):
 
 
 def _owners(batches):
-    """For each bucket: tells each block which of its n-grams, of those it has once, other blocks have as well."""
+    """For each bucket: tells each block which of its n-grams other blocks have as well, and how many classes have them."""
 
     def answer(rows):
         import numpy as np
 
-        blocks, steps, refs = [], [], []
+        blocks, steps, refs, numbers = [], [], [], []
         for block, data in rows:
-            step, ref = _unpress(data, np.uint64, np.uint32)
+            step, ref, number = _unpress(data, np.uint64, np.uint32, np.uint32)
             blocks.append(block)
             steps.append(np.cumsum(step, dtype=np.uint64))
             refs.append(ref)
-        tokens, ref, row = np.concatenate(steps), np.concatenate(refs), np.repeat(np.arange(len(rows)), [len(s) for s in steps])
+            numbers.append(number)
+        tokens, ref, number = np.concatenate(steps), np.concatenate(refs), np.concatenate(numbers)
+        row = np.repeat(np.arange(len(rows)), [len(s) for s in steps])
         order = np.argsort(tokens, kind="stable")
         t = tokens[order]
-        again = np.zeros(len(t), bool)
-        again[1:] = t[1:] == t[:-1]
-        again[:-1] |= again[1:]
-        hit = order[again]
-        hit = hit[ref[hit] != ALONE]
-        hit = hit[np.argsort(row[hit], kind="stable")]
+        head = np.ones(len(t), bool)
+        head[1:] = t[1:] != t[:-1]
+        at = np.flatnonzero(head)
+        sizes = np.diff(np.append(at, len(t)))
+        total = np.repeat(np.add.reduceat(number[order].astype(np.int64), at), sizes)
+        again = np.repeat(sizes > 1, sizes)
+        hit, total = order[again], np.minimum(total[again], ALONE).astype(np.uint32)
+        by_row = np.argsort(row[hit], kind="stable")
+        hit, total = hit[by_row], total[by_row]
         cuts = np.searchsorted(row[hit], np.arange(len(rows) + 1))
         for i, block in enumerate(blocks):
             own = hit[cuts[i] : cuts[i + 1]]
             if len(own):
-                yield 0, block, None, _press(ref[own], tokens[own])
+                yield 0, block, None, _press(ref[own], tokens[own], total[cuts[i] : cuts[i + 1]])
 
     now, held = None, []
     for batch in batches:
@@ -245,7 +250,7 @@ def _owners(batches):
 
 
 def _survivors(percent: int):
-    """For each block: its classes with at least percent of their n-grams shared, with those n-grams."""
+    """For each block: its classes with at least percent of their n-grams shared, with those n-grams as sort keys."""
 
     def emit(rows):
         import numpy as np
@@ -255,16 +260,24 @@ def _survivors(percent: int):
         if not own:
             return
         cids, sizes = _unpress(own[0][0], np.int64, np.int64)
-        parts = [_unpress(r[1], np.uint32, np.uint64) for r in rows]
-        ref, grams = np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
+        here_ref, here = _unpress(own[0][1], np.uint32, np.uint64)
+        parts = [_unpress(r[1], np.uint32, np.uint64, np.uint32) for r in rows if r[0] is None]
+        none = [np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
+        far_ref, far, far_total = (np.concatenate([p[i] for p in [*parts, none]]) for i in range(3))
+        alone = far_ref == ALONE
+        tokens, back, count = np.unique(here, return_inverse=True, return_counts=True)
+        spot = np.searchsorted(tokens, far[alone])  # told of n-grams that several classes of this block have
+        count[spot] = far_total[alone]
+        ref = np.concatenate([here_ref, far_ref[~alone]]).astype(np.int64)
+        keys = sort_keys(np.concatenate([here, far[~alone]]), np.concatenate([count[back], far_total[~alone].astype(np.int64)]))
         shared = np.bincount(ref, minlength=len(cids))
         stays = 100 * shared >= percent * sizes
         keep = stays[ref]
-        ref, grams = ref[keep], grams[keep]
-        order = np.lexsort((grams, ref))
+        ref, keys = ref[keep], keys[keep]
+        order = np.lexsort((keys, ref))
         which = np.flatnonzero(stays)
         o = np.concatenate([[0], np.cumsum(shared[which])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(o), pa.array(grams[order].view(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(o), pa.array(keys[order].view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(cids[which]), pa.array(sizes[which]), lists], ["cid", "n", "grams"])
 
     def run(batches):
@@ -285,19 +298,15 @@ def _survivors(percent: int):
 # ---- candidate groups
 
 
-def _ranked(grams, heavy):
-    """n-grams as sort keys of the global order: 6 bits of frequency, 58 of hash; sorted."""
+def sort_keys(grams, number):
+    """n-grams in the global order: 8 bits of the logarithm of the number of classes that have it, 56 of hash."""
     import numpy as np
 
-    tokens, level = heavy
-    key = grams & np.uint64((1 << 58) - 1)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, grams), len(tokens) - 1)
-        key = key | (np.where(tokens[at] == grams, level[at], 0).astype(np.uint64) << np.uint64(58))
-    return np.sort(key)
+    level = np.floor(8 * np.log2(np.maximum(number, 1).astype(np.float64))).astype(np.uint64)
+    return (level << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1))
 
 
-def _prefixes(percent: int, heavy):
+def _prefixes(percent: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -305,12 +314,12 @@ def _prefixes(percent: int, heavy):
         for batch in batches:
             out_key, out_cid = [], []
             for cid, n, grams in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), strict=True):
-                key = _ranked(grams.values.to_numpy().view(np.uint64), heavy)
+                key = grams.values.to_numpy()
                 prefix = key[: len(key) - (-(-percent * n // 100)) + 1]
                 out_key.append(prefix)
                 out_cid.append(np.full(len(prefix), cid))
             if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key).view(np.int64)), pa.array(np.concatenate(out_cid), pa.int64())], ["gram", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_cid), pa.int64())], ["gram", "cid"])
 
     return run
 
@@ -437,7 +446,7 @@ def join_group(members, queries, percent: int):
                 tree.insert(ranks, n, me)
 
 
-def _joined(percent: int, heavy):
+def _joined(percent: int):
     """Rows sorted by (grp, chunk, role): members (role 0), then queries (role 1), of one tree after another."""
 
     def run(batches):
@@ -448,7 +457,7 @@ def _joined(percent: int, heavy):
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in ("grp", "chunk", "role", "cid", "n", "tag")]
                 for i, (grp, chunk, role, cid, n, tag) in enumerate(zip(*cols, strict=True)):
-                    yield (grp, chunk), role, (cid, n, _ranked(batch.column("grams")[i].values.to_numpy().view(np.uint64), heavy), tag)
+                    yield (grp, chunk), role, (cid, n, batch.column("grams")[i].values.to_numpy().view(np.uint64), tag)
 
         source = rows()
         row = next(source, None)
@@ -475,16 +484,14 @@ def _joined(percent: int, heavy):
     return run
 
 
-def _tree_round(rows: DataFrame, parts: int, percent: int, heavy, tag: str) -> DataFrame:
+def _tree_round(rows: DataFrame, parts: int, percent: int, tag: str) -> DataFrame:
     cols = ["grp", "chunk", "role", "cid", "n", "grams", "tag"]
     dealt = rows.select(*cols).repartition(parts, "grp", "chunk").sortWithinPartitions("grp", "chunk", "role", "n", "cid")
-    return common.materialise(dealt.mapInArrow(_joined(percent, heavy), "a long, b long"), tag)
+    return common.materialise(dealt.mapInArrow(_joined(percent), "a long, b long"), tag)
 
 
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams: int = BLOCK, chunk_grams: int = CHUNK_GRAMS, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """links(a, b) between set ids whose components are those of the similarity graph; docs has doc_id and text."""
-    import numpy as np
-
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     blocks = docs.mapInArrow(_blocks(n, 2 * parts, block_grams), PARTS)
@@ -492,11 +499,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     kept = told.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_survivors(percent), "cid long, n long, grams array<long>")
     sets = common.materialise(kept.groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "ngram-sets")
 
-    often = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= HEAVY_FROM)
-    top = sorted((r.gram % (1 << 64), min(63, r.df.bit_length())) for r in often.orderBy(F.desc("df"), "gram").limit(HEAVY).collect())
-    heavy = np.array([t for t, _ in top], np.uint64), np.array([k for _, k in top], np.uint64)
-
-    prefix = common.materialise(sets.mapInArrow(_prefixes(percent, heavy), "gram long, cid long"), "ngram-prefixes")
+    prefix = common.materialise(sets.mapInArrow(_prefixes(percent), "gram long, cid long"), "ngram-prefixes")
     lead = prefix.groupBy("gram").agg(F.min("cid").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     edges = prefix.join(lead, "gram").filter("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     groups = common.connected_components(edges, "ngram-groups").withColumnsRenamed({"node": "cid", "component": "grp"})
@@ -504,7 +507,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     sizes = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.size("grams")) / chunk_grams), F.ceil(F.count("*") / chunk_sets)).alias("chunks"))
     rows = rows.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumns({"role": F.lit(0), "tag": F.col("cid")})
     rows = common.materialise(rows, "ngram-chunks")
-    links = _tree_round(rows, parts, percent, heavy, "ngram-links")
+    links = _tree_round(rows, parts, percent, "ngram-links")
     many = rows.filter("chunks > 1").drop("tag")
     if many.isEmpty():
         return links
@@ -517,12 +520,12 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     heads = now.filter("cid = tag")
     counts = heads.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.size("grams")) / chunk_grams), F.ceil(F.count("*") / chunk_sets)).alias("heads"))
     heads = heads.join(counts, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("heads")))
-    links = common.materialise(links.unionByName(_tree_round(heads, parts, percent, heavy, "ngram-links")), "ngram-links")
+    links = common.materialise(links.unionByName(_tree_round(heads, parts, percent, "ngram-links")), "ngram-links")
     now = labelled(links)
     largest = now.groupBy("grp", "tag").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "tag")).tag.alias("largest"))
     outside = now.join(largest, "grp").filter("tag <> largest").drop("largest")
     asked = outside.withColumns({"chunk": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)), "role": F.lit(1)})
-    last = _tree_round(now.unionByName(asked.select(*now.columns)), parts, percent, heavy, "ngram-links")
+    last = _tree_round(now.unionByName(asked.select(*now.columns)), parts, percent, "ngram-links")
     return links.unionByName(last)
 
 
