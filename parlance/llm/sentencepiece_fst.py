@@ -8,20 +8,22 @@ piece u to piece v weighs 0 if merging the joined text leaves exactly u and v, e
 BPE encoding of its text if and only if each adjacent pair is such, and so each prefix has one state of finite weight,
 and one array cell per position holds the lattice of a whole batch of words.
 
-Words are cut where no piece can span (before U+2581 after another character, and around characters that no longer
-piece holds), each distinct word is composed once per worker.
+Texts are cut between neighbours that no piece holds side by side, where no piece can span; each distinct word between
+cuts is composed once per worker and known by its 64-bit hash from then on.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
+from .packing import mixed
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 #: Words of more characters are composed one by one.
 LONG = 48
 
@@ -66,36 +68,37 @@ class Transducer:
     # ---- lexicon
 
     def _hash_pieces(self, np) -> None:
-        """Pieces by a polynomial hash of their code points, for looking up many substrings at once."""
+        """Pieces by a hash that grows by one character to the left, for looking up all ends of many words at once."""
+        chars = sorted({c for p in self.lexicon for c in p})
+        self.char_hash = {c: int(x) for c, x in zip(chars, mixed(np.array([ord(c) for c in chars], np.uint64)).tolist(), strict=True)}
         rows = sorted((self._hash(p), i) for p, i in self.lexicon.items())
         self.hashes, self.hash_ids = np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)
         if len(np.unique(self.hashes)) != len(rows):
             raise ValueError("two pieces share a hash")
-        self.points = {n: None for n in range(1, self.longest + 1)}
-        for n in self.points:
-            self.points[n] = np.zeros((len(self.pieces), n), np.uint32)
+        self.points = {n: np.zeros((len(self.pieces), n), np.uint32) for n in range(1, self.longest + 1)}
         for p, i in self.lexicon.items():
             self.points[len(p)][i] = [ord(c) for c in p]
+        # Neighbours that occur within a piece; between any others a text can be cut.
+        self.char_ids = np.zeros(0x110000, np.int16)
+        for k, c in enumerate(sorted(self.inside), 1):
+            self.char_ids[ord(c)] = k
+        self.side = len(self.inside) + 1
+        self.joined = np.zeros(self.side * self.side, bool)
+        for p in self.lexicon:
+            for x, y in zip(p, p[1:]):  # noqa: B905  neighbours
+                self.joined[int(self.char_ids[ord(x)]) * self.side + int(self.char_ids[ord(y)])] = True
 
     MULTIPLIER = 0x9E3779B97F4A7C15
 
     def _hash(self, text: str) -> int:
-        h = len(text)
-        for c in text:
-            h = ((h * self.MULTIPLIER) ^ (h >> 29)) + ord(c) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-            h &= (1 << 64) - 1
-        return h
-
-    def find(self, np, points):
-        """Ids of the pieces whose code points are the rows of points, -1 where there is none. Hits are compared in full."""
-        n = points.shape[1]
-        h = np.full(len(points), n, np.uint64)
-        for j in range(n):
-            h = ((h * np.uint64(self.MULTIPLIER)) ^ (h >> np.uint64(29))) + points[:, j].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        return sum(self.char_hash[c] * pow(self.MULTIPLIER, k, 1 << 64) for k, c in enumerate(reversed(text))) & (1 << 64) - 1
+
+    def find(self, np, points, h):
+        """Ids of the pieces whose code points are the rows of points (hashes h), -1 where there is none."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         ids = np.where(self.hashes[at] == h, self.hash_ids[at], -1)
         hit = np.flatnonzero(ids >= 0)
-        wrong = (self.points[n][ids[hit]] != points[hit]).any(axis=1)
+        wrong = (self.points[points.shape[1]][ids[hit]] != points[hit]).any(axis=1)
         ids[hit[wrong]] = -1
         return ids
 
@@ -103,7 +106,11 @@ class Transducer:
 
     def merge(self, text: str) -> list[tuple[int, int]]:
         """Greedy merges of text: [(length, id)] of what is left; the best score first, leftmost of equals."""
-        parts = list(text)
+        return self._merged(text)[0]
+
+    def _merged(self, text: str):
+        """(what is left, the last two parts that were merged)."""
+        parts, last = list(text), None
         while True:
             best = None
             for i in range(len(parts) - 1):
@@ -111,39 +118,71 @@ class Transducer:
                 if found is not None and (best is None or self.scores[found] > best[0]):
                     best = (self.scores[found], i)
             if best is None:
-                return [(len(p), self.lexicon.get(p, -1)) for p in parts]
+                return [(len(p), self.lexicon.get(p, -1)) for p in parts], last
             i = best[1]
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _compile_pairs(self, np) -> None:
+        """Ranks in merge order (single characters first), how each piece was merged last, and all merges by their parts."""
         self.pair_weight: dict[int, bool] = {}
         self.reached = np.zeros(len(self.pieces), bool)
+        self.runs = np.array([len(p) > 1 and len(set(p)) == 1 for p in self.pieces])
+        order = sorted(self.lexicon, key=lambda p: (len(p) > 1, -self.scores[self.lexicon[p]]))
+        rank = {p: r for r, p in enumerate(order)}
+        self.rank = np.full(len(self.pieces), -1, np.int64)
+        self.left, self.right = np.arange(len(order)), np.arange(len(order))
+        merges = {}
         for p, i in self.lexicon.items():
-            self.reached[i] = self.merge(p) == [(len(p), i)]
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+            self.rank[i] = rank[p]
+            done, last = self._merged(p)
+            self.reached[i] = done == [(len(p), i)]
+            if last and self.reached[i]:
+                self.left[rank[p]], self.right[rank[p]] = rank[last[0]], rank[last[1]]
+            for k in range(1, len(p)):
+                if p[:k] in rank and p[k:] in rank:
+                    merges[rank[p[:k]] * len(order) + rank[p[k:]]] = rank[p]
+        self.merge_keys = np.array(sorted(merges), np.int64)
+        self.merge_ranks = np.array([merges[k] for k in sorted(merges)], np.int64)
 
     def allowed(self, np, left, right):
-        """Whether the arc from piece left to piece right has weight 0 (left -1: the start); known pairs are kept sorted."""
+        """Whether the arc from piece left to piece right has weight 0; left -1 is the start.
+
+        The two pieces' merges are undone from the last one back. At each stage, if the parts at the seam would have
+        merged before what was undone there, the pair cannot stand side by side.
+        """
         ok = self.reached[right].copy()
         need = np.flatnonzero(ok & (left >= 0))
-        keys = left[need] * len(self.pieces) + right[need]
-        distinct = np.unique(keys)
-        at = np.searchsorted(self.pair_keys, distinct)
-        known = (at < len(self.pair_keys)) & (self.pair_keys[np.minimum(at, max(0, len(self.pair_keys) - 1))] == distinct) if len(self.pair_keys) else np.zeros(len(distinct), bool)
-        new = distinct[~known]
-        if len(new):
-            fresh = np.array([self._pair(*divmod(int(k), len(self.pieces))) for k in new], bool)
-            both = np.concatenate([self.pair_keys, new])
-            order = np.argsort(both, kind="stable")
-            self.pair_keys, self.pair_ok = both[order], np.concatenate([self.pair_ok, fresh])[order]
-        if len(need):
-            ok[need] = self.pair_ok[np.searchsorted(self.pair_keys, keys)]
+        n = len(self.left)
+        distinct, back = np.unique(self.rank[left[need]] * n + self.rank[right[need]], return_inverse=True)
+        a, b = distinct // n, distinct % n
+        limit, result, live = np.full(len(a), 1 << 40), np.ones(len(a), bool), np.arange(len(a))
+        while len(live):
+            x, y = a[live], b[live]
+            key = x * n + y
+            at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            clash = (self.merge_keys[at] == key) & (self.merge_ranks[at] < limit[live])
+            result[live[clash]] = False
+            go = ~clash
+            live, x, y = live[go], x[go], y[go]
+            first = x > y  # undo the later merge; on the left side if ranks say so
+            can_x, can_y = self.right[x] != x, self.left[y] != y
+            undo_x = (first & can_x) | (~first & ~can_y & can_x)
+            undo_y = ~undo_x & can_y
+            limit[live] = np.where(undo_x, x, np.where(undo_y, y + 1, limit[live]))
+            a[live], b[live] = np.where(undo_x, self.right[x], x), np.where(undo_y, self.left[y], y)
+            live = live[undo_x | undo_y]
+        ok[need] = result[back]
+        # Runs of one character merge by position, not by rank alone: such pairs are merged out.
+        for i in need[self.runs[left[need]]].tolist():
+            key = int(left[i]) * len(self.pieces) + int(right[i])
+            if key not in self.pair_weight:
+                self.pair_weight[key] = self._pair(int(left[i]), int(right[i]))
+            ok[i] = self.pair_weight[key]
         return ok
 
     def _pair(self, u: int, v: int) -> bool:
         a, b = self.pieces[u], self.pieces[v]
-        if not any(a[i:] + b[:j] in self.lexicon for i in range(len(a)) for j in range(1, len(b) + 1)):
-            return True  # nothing spans the seam, so either side merges as it does alone
         return self.merge(a + b) == [(len(a), u), (len(b), v)]
 
     # ---- shortest paths
@@ -153,32 +192,35 @@ class Transducer:
         import numpy as np
 
         n, m = len(words[0]), len(words)
-        points = np.array([list(map(ord, w)) for w in words], np.uint32)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n)
+        chars = mixed(points.astype(np.uint64))
         cost = np.full((m, n + 1), np.inf)
         cost[:, 0] = 0
         last, back = np.full((m, n + 1), -1, np.int64), np.zeros((m, n + 1), np.int64)
+        scores = None if self.bpe else -np.array(self.scores)
         for i in range(1, n + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                ids = self.find(np, points[:, i - size : i])
-                rows = np.flatnonzero((ids >= 0) & np.isfinite(cost[:, i - size]))
-                if not len(rows):
-                    continue
-                ids = ids[rows]
-                if self.bpe:
-                    weight = np.where(self.allowed(np, last[rows, i - size], ids), 0.0, np.inf)
-                else:
-                    weight = -np.array(self.scores)[ids]
-                total = cost[rows, i - size] + weight
-                better = total < cost[rows, i]
-                rows, ids, total = rows[better], ids[better], total[better]
-                cost[rows, i], last[rows, i], back[rows, i] = total, ids, i - size
+            h, power, rows, ids, froms = np.zeros(m, np.uint64), 1, [], [], []
+            for size in range(1, min(i, self.longest) + 1):
+                h = h + chars[:, i - size] * np.uint64(power)
+                power = power * self.MULTIPLIER & (1 << 64) - 1
+                found = self.find(np, points[:, i - size : i], h)
+                hit = np.flatnonzero((found >= 0) & np.isfinite(cost[:, i - size]))
+                rows.append(hit)
+                ids.append(found[hit])
+                froms.append(np.full(len(hit), i - size))
+            row, piece, start = np.concatenate(rows), np.concatenate(ids), np.concatenate(froms)
+            weight = np.where(self.allowed(np, last[row, start], piece), 0.0, np.inf) if self.bpe else scores[piece]
+            total = cost[row, start] + weight
+            best = np.lexsort((-start, total, row))  # the least cost of each row; of equals the shorter last piece
+            best = best[np.concatenate([[True], row[best][1:] != row[best][:-1]])] if len(best) else best
+            cost[row[best], i], last[row[best], i], back[row[best], i] = total[best], piece[best], start[best]
         out = []
         last, back = last.tolist(), back.tolist()
         for r in range(m):
-            path, i = [], n
+            path, i, pieces, origin = [], n, last[r], back[r]
             while i > 0:
-                path.append(last[r][i])
-                i = back[r][i]
+                path.append(pieces[i])
+                i = origin[i]
             out.append(path[::-1])
         return out
 
@@ -216,85 +258,81 @@ class Transducer:
     def clear(self) -> None:
         import numpy as np
 
-        self.known: dict[bytes, int] = {}
-        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size = self.used = 0
+        self.starts, self.lengths, self.pool = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
         if self.bpe:
             self.pair_weight.clear()
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, keys, words: list[str]) -> None:
+        """keys: sorted hashes of words that are not known. A word is one character outside the lexicon, or all within."""
         import numpy as np
 
-        parts, by_length = [], {}
-        for w in words:
-            row, run = [], ""
-            for c in w.decode().replace(" ", SPACE):
-                if c in self.inside:
-                    run += c
-                    continue
-                if run:
-                    row.append(run)
-                row.append([self.lexicon[c]] if c in self.lexicon else self.fallback(c))
-                run = ""
-            if run:
-                row.append(run)
-            parts.append(row)
-            for p in row:
-                if isinstance(p, str):
-                    by_length.setdefault(len(p), set()).add(p)
-        paths: dict[str, list[int]] = {}
-        for n, same in by_length.items():
-            if n > LONG:
-                paths |= {w: self.compose_long(w) for w in same}
-                continue
-            same = list(same)
-            for i in range(0, len(same), 20_000):
-                part = same[i : i + 20_000]
-                paths |= dict(zip(part, self.compose(part), strict=True))
-        lists = [[t for p in row for t in (paths[p] if isinstance(p, str) else p)] for row in parts]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        new = np.fromiter((t for x in lists for t in x), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, new])
-        for w in words:
-            self.known[w] = len(self.known)
+        def room(a, n):
+            return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 3 * len(a) // 2) - len(a), a.dtype)])
+
+        lists: list = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) == 1:
+                lists[i] = [self.lexicon[w]] if w in self.lexicon else self.fallback(w)
+            elif len(w) > LONG:
+                lists[i] = self.compose_long(w)
+            else:
+                by_length.setdefault(len(w), []).append(i)
+        for same in by_length.values():
+            for k in range(0, len(same), 10_000):
+                part = same[k : k + 10_000]
+                for i, ids in zip(part, self.compose([words[i] for i in part]), strict=True):
+                    lists[i] = ids
+        flat = list(itertools.chain.from_iterable(lists))
+        lengths = np.array(list(map(len, lists)), np.int32)
+        n = len(words)
+        self.starts, self.lengths, self.pool = room(self.starts, self.size + n), room(self.lengths, self.size + n), room(self.pool, self.used + len(flat))
+        here = slice(self.size, self.size + n)
+        self.starts[here], self.lengths[here] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.pool[self.used : self.used + len(flat)] = flat
+        spot = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, spot, keys)
+        self.place = np.insert(self.place, spot, self.size + np.arange(n, dtype=np.int32))
+        self.size, self.used = self.size + n, self.used + len(flat)
 
     def encode(self, raw, offsets):
         """(flat ids, ids of each text) of texts given as UTF-8 bytes and offsets."""
         import numpy as np
-        import pyarrow as pa
 
-        sizes = np.diff(offsets)
+        sizes = np.diff(np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets])  # in characters
+        texts = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         full = sizes > 0
-        # the dummy prefix: a space before each text that is not empty
         shift = np.cumsum(full)
-        data = np.full(len(raw) + int(full.sum()), 32, np.uint8)
-        data[np.arange(len(raw)) + np.repeat(shift, sizes)] = raw
-        ends = offsets[1:] + shift
-        mark = (data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2) if len(data) > 2 else np.zeros(0, bool)
-        for at in np.flatnonzero(mark)[::-1].tolist():  # U+2581 in a text is read as the space mark it is
-            data = np.concatenate([data[:at], [32], data[at + 3 :]]).astype(np.uint8)
-            ends = np.where(ends > at, ends - 2, ends)
-        space, line = data == 32, data == 10
-        cut = np.ones(len(data) + 1, bool)
-        if len(data):
-            cut[1:-1] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-            cut[ends] = True
-        o = np.flatnonzero(cut)
-        words = pa.Array.from_buffers(pa.large_binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int64)), pa.py_buffer(data)]) if len(data) else pa.array([], pa.large_binary())
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
+        data = np.full(len(texts) + int(full.sum()), ord(SPACE), np.uint32)  # the dummy prefix
+        data[np.arange(len(texts)) + np.repeat(shift, sizes)] = np.where(texts == 32, ord(SPACE), texts)
+        ends = np.cumsum(sizes) + shift
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        kind = self.char_ids[data].astype(np.int64)
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joined[kind[:-1] * self.side + kind[1:]]
+        cut[ends[:-1][ends[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(cut), len(data))
+        lengths = np.diff(at)
+        position = np.arange(len(data)) - np.repeat(at[:-1], lengths)
+        hashes = mixed(np.add.reduceat(mixed((position.astype(np.uint64) << np.uint64(21)) + data + np.uint64(1)), at[:-1]) + lengths.astype(np.uint64))
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.size > CACHE_WORDS:
             self.clear()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(new)
-        which = np.array([self.known[w] for w in distinct], np.int64)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        lengths = self.lengths[which]
+        spot = np.minimum(np.searchsorted(self.keys, distinct), max(0, self.size - 1))
+        known = self.keys[spot] == distinct if self.size else np.zeros(len(distinct), bool)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            text, a, b = data.tobytes().decode("utf-32-le"), at[first[new]].tolist(), at[first[new] + 1].tolist()
+            self.learn(distinct[new], [text[x:y] for x, y in zip(a, b, strict=True)])
+            spot = np.searchsorted(self.keys, distinct)
+        place = self.place[spot]
+        lengths = self.lengths[place].astype(np.int64)[back]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.pool[np.repeat(self.starts[which] - upto[:-1], lengths) + np.arange(int(upto[-1]))]
-        word_end = np.searchsorted(o, ends) if len(data) else np.zeros(len(sizes), np.int64)
-        counts = np.diff(np.concatenate([[0], upto[word_end]]))
-        return flat, counts
+        flat = self.pool[np.repeat(self.starts[place][back] - upto[:-1], lengths) + np.arange(int(upto[-1]))]
+        return flat.astype(np.uint32), np.diff(np.concatenate([[0], upto[np.searchsorted(at, ends)]]))
 
     def decode(self, ids: list[int]) -> str:
         """The output projection: what the pieces write, without the dummy prefix; broken UTF-8 is replaced."""
@@ -328,7 +366,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
         fst = compiled(path)
         for batch in batches:
-            for ids, texts in common.text_slices(batch.column("doc_id"), batch.column("text")):
+            for ids, texts in common.text_slices(batch.column("doc_id"), batch.column("text"), 1 << 21):
                 flat, counts = fst.encode(*common.utf8_buffer(texts))
                 o = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(o), pa.array(flat.astype(np.int32)))
