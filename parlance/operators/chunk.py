@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import js_trim, sentences, word_count, words
+from ..functions.text import last_words, sentences, word_count, words
 
 
 def chunks_of(sents: Column, size: int = 2000, overlap: int = 100) -> Column:
@@ -55,5 +55,4 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = 2000, overlap: int
 
 def overlap_prefix(previous: Column, n: int) -> Column:
     """The last n words of a chunk's text."""
-    w = words(js_trim(previous))
-    return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), F.lit(n)), " ")
+    return last_words(previous, n)

@@ -10,7 +10,7 @@ from .functions import text as X
 from .operators import chunk, clean, deidentify, extract, merge, read, redact, segment
 from .plans.pipeline import Engine
 from .plans.steps import register_deterministic_steps, register_model_steps
-from .plans.validate import validate_segments
+from .plans.validate import validate_segments as segment_errors
 from .sources.adapters import ResponseTable
 from .sources.transcripts import from_table, from_turns
 
@@ -503,9 +503,9 @@ _SCHEMA = {"type": "array", "items": {"type": "object", "required": ["id", "text
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'segments[0].text: expected string, got number'
 WHEN 2 THEN 'segments[0].text: expected string, got undefined (required), segments[1].id: expected required field, got undefined' ELSE 'segments: expected array, got object' END AS errors FROM documents""")
-def validate_input(spark, sf):
+def validate_segments(spark, sf):
     rows = documents(spark, sf).select("doc_id", F.parse_json(F.expr(_SHAPE)).alias("segments"))
-    return rows.select("doc_id", F.array_join(validate_segments(F.col("segments"), _SCHEMA), ", ").alias("errors"))
+    return rows.select("doc_id", F.array_join(segment_errors(F.col("segments"), _SCHEMA), ", ").alias("errors"))
 
 
 @query(f"""WITH {q_items(4)}, n AS (SELECT transcript_id, count(*) AS n_actions, string_agg(text, '|' ORDER BY chunk_index, ord) AS said FROM items GROUP BY ALL),
