@@ -90,35 +90,33 @@ def sliding_argmin(h, span: int):
 def suffix_array(text):
     """The suffix array of text (uint8) and its inverse.
 
-    Larsson-Sadakane: ranks by the first 4 bytes, then by pairs of ranks, doubling the depth until all are unique;
+    Larsson-Sadakane: ranks by the first 8 bytes, then by pairs of ranks, doubling the depth until all are unique;
     suffixes whose rank is unique are left in place.
     """
     import numpy as np
 
     n = len(text)
-    wide = np.zeros(n + 4, np.int64)
-    wide[:n] = text.astype(np.int64) + 1
-    key = ((wide[:n] * 257 + wide[1 : n + 1]) * 257 + wide[2 : n + 2]) * 257 + wide[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    key = byte_words(text)[:n]
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     s = key[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
+    head = np.ones(n, bool)
+    head[1:] = s[1:] != s[:-1]
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    done = 4
-    single = head & np.append(head[1:], True)
-    slots = np.flatnonzero(~single)  # places in order whose group has more than one suffix
+    done = 8
+    slots = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in order whose group has more than one suffix
     while len(slots):
         at = order[slots]
         after = at + done
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        first = rank[at]
-        place = np.lexsort((second, first))
-        at, first, second = at[place], first[place], second[place]
+        # A suffix that ends within the depth comes before those that go on, the shorter first.
+        key = rank[at] * (2 * n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)] + n + 1, n - at)
+        place = np.argsort(key)
+        at, key = at[place], key[place]
         order[slots] = at
-        head = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        head = np.ones(len(slots), bool)
+        head[1:] = key[1:] != key[:-1]
         rank[at] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
-        single = head & np.append(head[1:], True)
-        slots = slots[~single]
+        slots = slots[~(head & np.append(head[1:], True))]
         done *= 2
     return order, rank
 
@@ -386,7 +384,7 @@ def _cut(length: int, keep_text: bool):
                 gone, runs, kept = 0, 0, data
                 if spans:
                     edge = np.zeros(len(data) + 1, np.int32)
-                    at = np.array([(s["a"], s["b"]) for s in spans], np.int64)
+                    at = np.array([(s["first"] + r["a"], s["first"] + r["b"]) for s in spans for r in s["found"]], np.int64)
                     np.add.at(edge, at[:, 0], 1)
                     np.add.at(edge, at[:, 1] + length - 1, -1)
                     covered = np.cumsum(edge[:-1]) > 0
@@ -433,8 +431,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts = _bucketed(source.withColumn("text", F.coalesce("text", F.lit(""))), parts, "suffix_texts")
 
     found = common.materialise(texts.select("rid", "text").mapInArrow(_anchor_rows(length), "rid long, h long, first int, last int"), "suffix-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    spots = found.join(again, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "h"))).alias("spots"))
+    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    again = common.materialise(again, "suffix-again")
+    spots = common.join_classes(found, again, ["h"], "n", found.count()).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "h"))).alias("spots"))
     contexts = texts.select("rid", "text").join(spots, "rid").select("rid", "text", "spots").mapInArrow(_context_rows(length), CONTEXTS)
     contexts = common.materialise(contexts, "suffix-contexts")
 
@@ -458,9 +457,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         ranges = ranges.unionByName(pairs.mapInArrow(_cross(length), RANGES))
     ranges = common.materialise(ranges.select("h", "digest", F.explode("ranges").alias("r")).select("h", "digest", "r.a", "r.b"), "suffix-ranges")
 
-    # Back to the documents; a context's windows are few ranges, its occurrences may be many, so these are not grouped.
-    spans = contexts.select("h", "digest", "rid", "first").join(ranges, ["h", "digest"]).select("rid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # Back to the documents: a context has few ranges, its occurrences may be a third of all, and are not grouped.
+    by_context = ranges.groupBy("h", "digest").agg(F.collect_set(F.struct("a", "b")).alias("found")).join(copies.select("h", "digest", "copies"), ["h", "digest"])
+    by_context = common.materialise(by_context, "suffix-found")
+    places = contexts.select("h", "digest", "rid", "first")
+    spans = common.join_classes(places, by_context, ["h", "digest"], "copies", places.count())
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
     kind = RESULT + (f", kept string, others {texts.schema['others'].dataType.simpleString()}" if keep_text else "")
     columns = ["rid", "doc_id", "text", "spans"] + ["others"] * keep_text
     return texts.join(spans, "rid", "left").select(*columns).mapInArrow(_cut(length, keep_text), kind)
