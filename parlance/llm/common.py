@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shared import materialise, shared_dir, shared_path  # noqa: F401  used by the operators
 from ..shipping import ship
 
 #: A class with more rows than total/HOT_CLASSES is hot; there can be no more than HOT_CLASSES such classes.
 HOT_CLASSES = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    own = tempfile.mkdtemp(prefix="parlance-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/parlance/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
