@@ -55,18 +55,33 @@ def first_words(c: Column, n: int) -> Column:
 
 def items(spark: SparkSession, sf: str, n: int) -> DataFrame:
     """Items of conversations: the first n words of each sentence of each turn, with metadata on some."""
-    rows = turns(spark, sf).select("conv_id", "turn", F.posexplode(X.sentences(F.col("text"))).alias("ord", "s"))
-    every = lambda k, of: F.when((F.col("turn") + F.col("ord")) % of == k, F.concat(F.lit("p"), (F.col("ord") % 4).cast("string")))
+    rows = turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), F.posexplode(X.sentences(F.col("text"))).alias("ord", "s"))
+    return with_metadata(rows, first_words(F.col("s"), n))
+
+
+def document_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of documents: whole sentences, with their source as the transcript and the document as the chunk."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select(F.col("source").alias("transcript_id"), F.col("doc_id").alias("chunk_index"), F.posexplode(X.sentences(F.col("text"))).alias("ord", "s"))
+    return with_metadata(rows, F.col("s"))
+
+
+def with_metadata(rows: DataFrame, text: Column) -> DataFrame:
+    every = lambda k, of: F.when((F.col("chunk_index") + F.col("ord")) % of == k, F.concat(F.lit("p"), (F.col("ord") % 4).cast("string")))
     return rows.select(
-        F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), "ord", first_words(F.col("s"), n).alias("text"),
+        "transcript_id", "chunk_index", "ord", text.alias("text"),
         every(0, 3).alias("assignee"), every(1, 5).alias("due_date"), F.when(F.col("ord") % 2 == 0, "open").otherwise("done").alias("status"),
         every(2, 7).alias("source_segment_id"), every(3, 4).alias("made_by"),
     )
 
 
 def topics(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    return as_topics(items(spark, sf, n))
+
+
+def as_topics(rows: DataFrame) -> DataFrame:
     rel = (F.col("chunk_index") * 37 + F.col("ord") * 11) % 100 / F.lit(100.0)
-    return items(spark, sf, n).select("transcript_id", "chunk_index", "ord", F.concat(F.lit("t-"), F.col("ord").cast("string")).alias("id"), F.col("text").alias("label"), rel.alias("relevance"))
+    return rows.select("transcript_id", "chunk_index", "ord", F.concat(F.lit("t-"), F.col("ord").cast("string")).alias("id"), F.col("text").alias("label"), rel.alias("relevance"))
 
 
 # ---- SQL pieces
@@ -174,6 +189,17 @@ def q_items(n: int) -> str:
       ((turn * 37 + ord * 11) % 100) / 100.0::DOUBLE AS relevance FROM sent)"""
 
 
+def q_document_items() -> str:
+    """q_items on whole sentences of documents."""
+    every = lambda k, of: f"CASE WHEN (doc_id + ord) % {of} = {k} THEN 'p' || (ord % 4) END"
+    ss = q_sentences("text")
+    return f"""
+    sent AS (SELECT source, doc_id, unnest({ss}) AS s, generate_subscripts({ss}, 1) - 1 AS ord FROM documents),
+    items AS (SELECT source AS transcript_id, doc_id AS chunk_index, ord, s AS text,
+      {every(0, 3)} AS assignee, {every(1, 5)} AS due_date, CASE WHEN ord % 2 = 0 THEN 'open' ELSE 'done' END AS status, {every(2, 7)} AS source_segment_id, {every(3, 4)} AS made_by,
+      ((doc_id * 37 + ord * 11) % 100) / 100.0::DOUBLE AS relevance FROM sent)"""
+
+
 def q_leaders(field: str, threshold: float) -> str:
     """CTEs up to led: items with pos and the pos of their leader."""
     return f"""
@@ -497,6 +523,32 @@ def topics_by_relevance(spark, sf):
     return read.topics_by_relevance(topics(spark, sf, 2)).select("transcript_id", "label", "relevance", "rank")
 
 
+# ---- the same on whole sentences of documents
+
+
+def on_documents(name: str, n: int, run: Callable[[DataFrame], DataFrame]) -> None:
+    """Register document_<name>: what `name` does to items of n words done to document_items, against the same SQL on them."""
+
+    def whole(spark, sf):
+        return run(document_items(spark, sf))
+
+    whole.__name__ = f"document_{name}"
+    query(ORACLES[name].replace(q_items(n), q_document_items()))(whole)
+
+
+_PLACE = ("transcript_id", "chunk_index", "ord", "text")
+on_documents("merge_concat_items", 4, lambda i: merge.concat_items(i).select("transcript_id", "position", "text"))
+on_documents("dedupe_actions", 1, lambda i: merge.dedupe(i).select(*_PLACE))
+on_documents("dedupe_decisions", 2, lambda i: merge.dedupe(i).select(*_PLACE))
+on_documents("dedupe_topics", 1, lambda i: merge.dedupe_topics(as_topics(i)).select("transcript_id", "label", "relevance", "position"))
+on_documents("semantic_actions", 4, lambda i: merge.semantic_actions(i).select(*_PLACE))
+on_documents("semantic_decisions", 3, lambda i: merge.semantic_decisions(i).select(*_PLACE))
+on_documents("cluster_topics", 2, lambda i: merge.cluster_topics(as_topics(i)).select("transcript_id", "label", F.round("relevance", 6).alias("relevance"), "position"))
+on_documents("actions_by_status", 4, lambda i: read.actions(i, status="done").select(*_PLACE))
+on_documents("actions_by_assignee", 4, lambda i: read.actions(i, "done", "p1").select(*_PLACE))
+on_documents("topics_by_relevance", 2, lambda i: read.topics_by_relevance(as_topics(i)).select("transcript_id", "label", "relevance", "rank"))
+
+
 _SHAPE = """CASE doc_id % 4 WHEN 0 THEN '[{"id":"a","text":"t"}]' WHEN 1 THEN '[{"id":"a","text":123}]' WHEN 2 THEN '[{"id":"a"},{"text":"x"}]' ELSE '{"id":1}' END"""
 _SCHEMA = {"type": "array", "items": {"type": "object", "required": ["id", "text"], "properties": {"text": {"type": "string"}}}}
 
