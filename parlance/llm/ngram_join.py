@@ -94,13 +94,18 @@ def set_ids(grams, sizes):
 
 
 def _sets(n: int):
+    """(every column but the text, n, cid) of rows with a text."""
+
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for ids, texts in common.text_slices(batch.column("doc_id"), batch.column("text")):
+            ids = [c for c in batch.schema.names if c != "text"]
+            for rows, texts in common.text_slices(pa.array(np.arange(len(batch))), batch.column("text")):
                 grams, sizes = gram_sets(texts, n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(set_ids(grams, sizes), pa.int64())], ["doc_id", "n", "cid"])
+                own = [batch.column(c).slice(rows[0].as_py(), len(rows)) for c in ids]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(set_ids(grams, sizes), pa.int64())], [*ids, "n", "cid"])
 
     return run
 
@@ -553,11 +558,24 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     return found.select(*cols).unionByName(alone.select(*cols))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of similar ones; all columns stay."""
-    found = similar_documents(docs, n, percent, id_col, text_col)
-    stay = common.materialise(found.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "ngram-stay")
-    return docs.join(stay, docs[id_col] == stay["stays"], "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, **sizes) -> DataFrame:
+    """docs with one document, that of the smallest id, of each group of similar ones; all columns stay.
+
+    A group is one of rows, whatever their ids: of repeated ids one row stays in a group, rows of a null id come last.
+    Rows without shingles are groups of their own and stay.
+    """
+    rid = next(c for c in ("rid" + "_" * k for k in range(len(docs.columns) + 1)) if c.lower() not in {x.lower() for x in docs.columns})
+    numbered = common.materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "ngram-numbered")
+    source = common.source(numbered, id_col, text_col, F.col(rid).alias("rid"))
+    rows = common.materialise(source.mapInArrow(_sets(n), "rid long, doc_id long, n long, cid long"), "ngram-rows")
+    links = similar_classes(source.drop("rid"), n, percent, **sizes)
+    label = common.connected_components(links, "ngram-components").withColumnRenamed("node", "cid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    classes = rows.filter("n > 0").groupBy("cid").agg(first.alias("first"))
+    heads = classes.join(label, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("first").alias("first"))
+    stay = heads.select("first.rid").unionByName(rows.filter("n = 0").select("rid"))
+    stay = common.materialise(stay.withColumnRenamed("rid", rid), "ngram-stay")
+    return numbered.join(stay, rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import common, ngram_join, suffix_dedup
 from parlance.llm.queries import QUERIES
@@ -87,6 +88,18 @@ def test_join_fixture(spark, sizes):
     assert got == brute_join(docs)
 
 
+def test_one_of_each_ids(spark):
+    """Null ids stay unless a row with an id is similar; of repeated ids only the row chosen for its group stays."""
+    rng = random.Random(8)
+    x, y, z = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "xyz")
+    rows = [(1, x), (7, x + " end"), (7, y), (None, z), (None, ""), (None, None), (None, "End " + x), (9, ""), (7, y), (None, "q w"), (None, "q w")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("rid", F.lit("r")).repartition(3)
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, x), (7, y), (None, z), (None, ""), (None, None), (9, ""), (None, "q w")])
+    assert ngram_join.one_of_each(df.filter("false")).collect() == []
+
+
 def test_join_empty(spark):
     assert ngram_join.similar_documents(spark.createDataFrame([], SCHEMA)).collect() == []
 
