@@ -3,7 +3,7 @@
 Layouts differ between data sets: rows by turn, a prompt with a response, an instruction with an optional input, a
 list of messages. A layout is known by its fingerprint, the SHA-256 of its sorted nested field paths with their types,
 which selects a declarative mapping (SQL expressions) to canonical turns (conv_id, turn, role, text). For a table the
-paths come from its schema; for a column of JSON records each row's paths come from the record.
+paths come from its schema; in a column of JSON records each record is asked for the paths of the layouts.
 """
 
 from __future__ import annotations
@@ -86,32 +86,52 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
     return df.selectExpr(f"CAST({layout.conv_id} AS BIGINT) AS conv_id", f"inline({layout.turns})").select("conv_id", "turn", "role", "text")
 
 
-def canonical_json(df: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def canonical_json(df: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, keep_unknown: bool = False) -> DataFrame:
     """(conv_id, turn, role, text, layout) of a column of JSON records whose layouts differ by row.
 
-    Each row's fingerprint is the SHA-256 of the type of its record, which lists the nested field paths; it selects
-    the mapping. Records that are null, not JSON, or of an unknown layout give no turns.
+    A record has the largest layout whose field paths it contains: extra fields are ignored, a null stands for a string
+    or a number, and a string of digits for a number. Fields of list items are looked for in all items together, an item
+    without one reads as null. Records that are null, not JSON, of no layout, or with an empty list give no turns; with
+    keep_unknown each gives one row of null layout, its text the record.
     """
     kinds = {"int": "BIGINT", "string": "STRING"}
 
+    def fits(at: str, kind: str) -> str:
+        shown = f"schema_of_variant({at})"
+        return f"{shown} IN ('VOID', 'STRING')" if kind == "string" else f"({shown} IN ('VOID', 'BIGINT') OR {shown} = 'STRING' AND try_variant_get({at}, '$', 'bigint') IS NOT NULL)"
+
     def shape(x: Layout) -> tuple[str, str]:
-        top: dict[str, list[str]] = {}
+        tests, fields, lists = [], [], {}
         for p in x.paths:
-            name, _, inner = p.partition("[].")
-            field, _, kind = (inner or name).rpartition(":")
-            top.setdefault(name if inner else field, []).append(f"{field}: {kinds[kind]}" if inner else kinds[kind])
-        of = lambda v: v[0] if ":" not in v[0] else f"ARRAY<OBJECT<{', '.join(sorted(v))}>>"
-        variant = f"OBJECT<{', '.join(f'{k}: {of(v)}' for k, v in sorted(top.items()))}>"
-        return hashlib.sha256(variant.encode()).hexdigest(), variant.replace("OBJECT", "STRUCT")
-
-    typed = df.select(F.try_parse_json(column).alias("v")).withColumn("print", F.sha2(F.schema_of_variant("v"), 256))
+            path, _, kind = p.rpartition(":")
+            name, _, inner = path.partition("[].")
+            if inner:
+                lists.setdefault(name, []).append((inner, kind))
+            else:
+                at = f"try_variant_get(v, '$.{name}', 'variant')"
+                tests.append(f"{at} IS NOT NULL AND {fits(at, kind)}")
+                fields.append(f"`{name}`: {kinds[kind]}")
+        for name, inner in lists.items():
+            many = f"try_variant_get(v, '$.{name}', 'array<variant>')"
+            tests.append(f"forall({many}, e -> schema_of_variant(e) = 'VOID' OR schema_of_variant(e) LIKE 'OBJECT<%')")
+            for field, kind in inner:
+                at = f"try_variant_get(e, '$.{field}', 'variant')"
+                tests.append(f"exists({many}, e -> {at} IS NOT NULL) AND forall({many}, e -> {at} IS NULL OR {fits(at, kind)})")
+            fields.append(f"`{name}`: ARRAY<STRUCT<{', '.join(f'`{f}`: {kinds[k]}' for f, k in inner)}>>")
+        return " AND ".join(f"coalesce({t}, false)" for t in tests), f"STRUCT<{', '.join(fields)}>"
+
+    ordered = [(x, *shape(x)) for x in sorted(layouts, key=lambda x: -len(x.paths))]
+    chosen = " ".join(f"WHEN {test} THEN '{x.name}'" for x, test, _ in ordered)
+    typed = df.select(F.col(column).alias("record"), F.try_parse_json(column).alias("v")).selectExpr("record", "v", f"CASE {chosen} END AS layout")
     parts = []
-    for x in layouts:
-        key, ddl = shape(x)
+    for x, _, ddl in ordered:
         parts.append(
-            typed.filter(F.col("print") == key).selectExpr(f"variant_get(v, '$', '{ddl}') AS r").select("r.*")
+            typed.filter(F.col("layout") == x.name).selectExpr(f"variant_get(v, '$', '{ddl}') AS r").select("r.*")
             .selectExpr(f"CAST({x.conv_id} AS BIGINT) AS conv_id", f"inline({x.turns})").withColumn("layout", F.lit(x.name))
         )
+    if keep_unknown:
+        empty = "CAST(NULL AS BIGINT) AS turn", "CAST(NULL AS STRING) AS role", "record AS text", "layout"
+        parts.append(typed.filter("layout IS NULL").selectExpr("try_variant_get(v, '$.conv_id', 'bigint') AS conv_id", *empty))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

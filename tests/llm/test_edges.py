@@ -163,6 +163,24 @@ def test_chat_layouts(spark):
     }
 
 
+def test_chat_layouts_within(spark):
+    """Nulls, extra fields, ids as text and items without a field lose no turn; what has no layout comes back whole."""
+    records = [
+        '{"conv_id":1,"prompt":null,"response":"r"}', '{"conv_id":"2","prompt":"p","response":"r","model":"m","id":[1,{"a":2}]}', '{"conv_id":3,"messages":[{"role":"user","content":"u","name":"n"},{"role":"assistant","content":null},{"role":"tool"}]}',
+        '{"conv_id":4,"instruction":"i","input":null,"output":"o"}', '{"conv_id":null,"conversations":[{"from":"gpt","value":"g"},null],"x":1}', '{"conv_id":5,"turn":2,"role":"user","text":null,"k":{}}',
+        '{"conv_id":6,"prompt":7,"response":"r"}', '{"conv_id":"z","prompt":"p","response":"r"}', '{"prompt":"p","response":"r"}', '{"conv_id":7,"messages":[]}', '{"conv_id":8,"messages":["u"]}', "{", None,
+    ]
+    df = spark.createDataFrame([(r,) for r in records], "record string")
+    want = Counter([
+        (1, 0, "user", None, "prompt"), (1, 1, "assistant", "r", "prompt"), (2, 0, "user", "p", "prompt"), (2, 1, "assistant", "r", "prompt"), (3, 0, "user", "u", "messages"), (3, 1, "assistant", None, "messages"), (3, 2, "tool", None, "messages"),
+        (4, 0, "user", "i", "instruction_input"), (4, 1, "assistant", "o", "instruction_input"), (None, 0, "assistant", "g", "from_value"), (None, 1, None, None, "from_value"), (5, 2, "user", None, "turn_rows"),
+    ])
+    read = lambda **k: Counter((r.conv_id, r.turn, r.role, r.text, r.layout) for r in chat.canonical_json(df, **k).collect())
+    assert read() == want
+    ids = {6: 6, 9: 7, 10: 8}
+    assert read(keep_unknown=True) == want + Counter((ids.get(i), None, None, records[i], None) for i in range(6, len(records)))
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("org", "/", "block"), ("a.org", "", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("b.a.org", "/", "block"), ("", "", "block")], "host string, path string, action string")
     urls = ["http://A.org/x/y?q", "http://c.a.org/x", "https://a.org", "http://b.a.org/x/y", "http://b.a.org#f", "ftp://z.org/", "http://nota.org/", None, "nothing", "http://", "http://com/", "http://a.org/x/y?q"]
