@@ -6,7 +6,8 @@ a weight, a = softmax(w . (tanh(hV) * sigmoid(hU))); the weighted sum of the enc
 documents are needed to learn all of it.
 
 Training runs on the driver over a sample of labelled rows bounded by `sample` (per class, chosen by the hash of the
-id; bags of more than TRAIN_PASSAGES passages are thinned evenly, for training only). Scoring reads whole texts.
+id). Both training and scoring read whole texts; the gradient is summed block of passages by block of passages, and
+passages of long texts are encoded anew for every block, so that a text of any length takes little more than itself.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from . import common
 
 PASSAGE, PAIRS, SHAPES, HIDDEN = 512, 1024, 8, 24
 SAMPLE = 1200
-TRAIN_PASSAGES = 48
+#: Passages encoded at a time in training.
+BLOCK = 1024
 EPOCHS, BATCH, RATE = 30, 32, 0.004
 THRESHOLD = 0.3
 
@@ -56,7 +58,38 @@ def encode(raw, offsets):
 def forward(p: dict, x, first):
     import numpy as np
 
-    h = np.tanh(x @ p["W"] + p["b"])
+    return forward_hidden(p, np.tanh(x @ p["W"] + p["b"]), first)
+
+
+class LongBag:
+    """The passages of one text, encoded a block at a time."""
+
+    def __init__(self, raw):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return max(1, -(-len(self.raw) // PASSAGE))
+
+    def blocks(self):
+        import numpy as np
+
+        for at in range(0, max(1, len(self.raw)), BLOCK * PASSAGE):
+            part = self.raw[at : at + BLOCK * PASSAGE]
+            yield encode(part, np.array([0, len(part)]))[0]
+
+
+def blocks(bags: list):
+    """The feature rows of bags, in order."""
+    for bag in bags:
+        if isinstance(bag, LongBag):
+            yield from bag.blocks()
+        else:
+            yield bag
+
+
+def forward_hidden(p: dict, h, first):
+    import numpy as np
+
     t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
     e = (t * g) @ p["w"]
     starts, sizes = first[:-1], np.diff(first)
@@ -67,7 +100,7 @@ def forward(p: dict, x, first):
 
 
 def fit(bags: list, labels, weights, seed: int = 7) -> dict:
-    """Parameters of the model; bags are feature matrices, trained by Adam on the weighted log loss."""
+    """Parameters of the model; bags are feature matrices or LongBags, trained by Adam on the weighted log loss."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -79,8 +112,8 @@ def fit(bags: list, labels, weights, seed: int = 7) -> dict:
         order = rng.permutation(len(bags))
         for i in range(0, len(order), BATCH):
             take = order[i : i + BATCH]
-            x, first = np.concatenate([bags[j] for j in take]), np.concatenate([[0], np.cumsum([len(bags[j]) for j in take])])
-            h, t, g, a, z, s = forward(p, x, first)
+            batch, first = [bags[j] for j in take], np.concatenate([[0], np.cumsum([len(bags[j]) for j in take])])
+            h, t, g, a, z, s = forward_hidden(p, np.concatenate([np.tanh(x @ p["W"] + p["b"]) for x in blocks(batch)]), first)
             ds = (s - labels[take]) * weights[take] / len(take)
             sizes = np.diff(first)
             dz = np.repeat(ds[:, None] * p["c"], sizes, axis=0)
@@ -88,7 +121,11 @@ def fit(bags: list, labels, weights, seed: int = 7) -> dict:
             de = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), sizes))
             dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
             dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh + 1e-5 * p["W"], "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum()}
+            dw, at = 1e-5 * p["W"], 0
+            for x in blocks(batch):
+                dw += x.T @ dh[at : at + len(x)]
+                at += len(x)
+            grad = {"W": dw, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum()}
             step += 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k in p:
@@ -122,9 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     y = rows["quality"].to_numpy().astype(np.float32)
     bags = []
     for _, part in common.text_slices(rows["doc_id"].combine_chunks(), rows["text"].combine_chunks()):
-        x, first = encode(*common.utf8_buffer(part))
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            bags.append(x[a:b] if b - a <= TRAIN_PASSAGES else x[np.linspace(a, b - 1, TRAIN_PASSAGES).astype(int)])
+        raw, offsets = common.utf8_buffer(part)
+        if len(raw) > BLOCK * PASSAGE and len(part) == 1:  # slices of several texts are of 1 MB at most
+            bags.append(LongBag(raw))
+            continue
+        x, first = encode(raw, offsets)
+        bags += [x[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     # weighted to the share that either class has among all usable labels
     share = np.array([max(1, (y == q).sum()) / n[q] for q in (0, 1)])
     weight = (1 / share)[y.astype(int)]

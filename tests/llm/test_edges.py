@@ -5,6 +5,7 @@ import hashlib
 import json
 import os
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -96,6 +97,29 @@ def test_quality(spark, docs, none):
     assert kept.count() == len(ROWS) and quality.keep_good(docs, {"constant": 0.1}).count() == 0
 
 
+def test_quality_long_texts(spark, monkeypatch):
+    """Training sees all passages of a long text, and a text encoded block by block trains as one encoded at once."""
+    import numpy as np
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y, w, **k: seen.append(bags) or {"constant": 0.5})
+    texts = [(1, "good day " * 9_000), (2, "bad " * 150_000), (3, "bad"), (4, ""), (6, "good"), (8, "ok")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    quality.train(df, spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int"))
+    used = [len(t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    assert max(used) > 48 * quality.PASSAGE and [len(b) for b in seen[0]] == [max(1, -(-n // quality.PASSAGE)) for n in used]
+    monkeypatch.undo()
+    monkeypatch.setattr(quality, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    raws = [rng.integers(32, 126, n).astype(np.uint8) for n in (0, 1, 600, 512 * 3, 512 * 7 + 5)]
+    y, w = np.array([0, 1, 0, 1, 1], np.float32), np.ones(5, np.float32)
+    whole = [quality.encode(r, np.array([0, len(r)]))[0] for r in raws]
+    assert all(np.array_equal(np.concatenate(list(quality.LongBag(r).blocks())), x) and len(quality.LongBag(r)) == len(x) for r, x in zip(raws, whole, strict=True))
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    a, b = quality.fit(whole, y, w), quality.fit([quality.LongBag(r) for r in raws], y, w)
+    assert all(np.allclose(a[k], b[k], atol=1e-3) for k in a)
+
+
 def test_quality_gradient():
     """The model's loss falls along its own gradient: training separates bags by one passage among many."""
     import numpy as np
