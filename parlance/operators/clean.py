@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import BOUNDARY, collapse
+from ..functions.text import BOUNDARY, NO_WORD_AFTER, NO_WORD_BEFORE, collapse
 
 #: Fillers that are removed by default.
 FILLERS = ("um", "uh", "erm", "hmm")
@@ -23,13 +24,18 @@ class CleanOptions:
 
 def drop_timestamps(c: Column) -> Column:
     """Times in brackets, then bare ones, become spaces."""
-    return F.regexp_replace(F.regexp_replace(c, rf"\[{_TIME}\]", " "), BOUNDARY + _TIME + BOUNDARY, " ")
+    return F.regexp_replace(F.regexp_replace(c, rf"\[{_TIME}\]", " "), NO_WORD_BEFORE + _TIME + NO_WORD_AFTER, " ")
 
 
 def drop_fillers(c: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
     """Filler words (regular expressions, any case) and brackets become spaces."""
-    for filler in fillers:
-        c = F.regexp_replace(c, f"(?i){BOUNDARY}{filler}{BOUNDARY}", " ")
+    # Plain words cannot overlap between word boundaries, so they go in one pass.
+    plain = [f for f in fillers if re.fullmatch(r"\w+", f, re.ASCII)]
+    if len(plain) == len(fillers) and plain:
+        c = F.regexp_replace(c, f"(?i){NO_WORD_BEFORE}(?:{'|'.join(plain)}){NO_WORD_AFTER}", " ")
+    else:
+        for filler in fillers:
+            c = F.regexp_replace(c, f"(?i){BOUNDARY}{filler}{BOUNDARY}", " ")
     return F.regexp_replace(c, r"[()\[\]]", " ")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import BOUNDARY, WS, escape_regex, pad2, person_key, truthy
+from ..functions.text import BOUNDARY, NO_WORD_AFTER, NO_WORD_BEFORE, WS, escape_regex, pad2, person_key, truthy
+from ..shared import materialise
 
 #: A name is one or two capitalised words. ASCII boundaries are what the original has, so Cyrillic names are only
 #: found where unicode_aware gives them boundaries of their own.
@@ -44,28 +45,42 @@ def participants(segments: DataFrame, key: str = "transcript_id", **options) ->
     return first.select(key, "person", F.concat(F.lit("PARTICIPANT_"), pad2(number)).alias("alias"))
 
 
+def alias_map(aliases: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """(key, _aliases): a map from person to alias for each transcript."""
+    return aliases.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("person", "alias"))).alias("_aliases"))
+
+
+def alias_of(aliases: Column, name: Column) -> Column:
+    return F.try_element_at(aliases, person_key(name))
+
+
 def replace_names(text: Column, aliases: Column, unicode_aware: bool = False) -> Column:
-    """text with each name found in the original text replaced everywhere, in order of the finds, by aliases[person]."""
-    edge = (_EDGE, r"(?![\p{L}\p{N}_])") if unicode_aware else (BOUNDARY, BOUNDARY)
-    found = F.array_distinct(names_in(text, unicode_aware))
+    """text with each name found in the original text replaced everywhere, in order of the finds, by its alias in the map `aliases`."""
+    found = F.transform(F.array_distinct(names_in(text, unicode_aware)), lambda n: F.struct(n.alias("name"), alias_of(aliases, n).alias("alias")))
 
-    def step(acc: Column, name: Column) -> Column:
-        alias = F.get(F.transform(F.filter(aliases, lambda a: a.person == person_key(name)), lambda a: a["alias"]), F.lit(0))
-        return F.regexp_replace(acc, F.concat(F.lit(edge[0]), escape_regex(name), F.lit(edge[1])), F.coalesce(alias, name))
+    def step(acc: Column, n: Column) -> Column:
+        name = escape_regex(n["name"])
+        if unicode_aware:
+            pattern = F.concat(F.lit(_EDGE), name, F.lit(r"(?![\p{L}\p{N}_])"))
+        else:
+            pattern = F.when(n["name"].rlike("^[A-Z]"), F.concat(F.lit(NO_WORD_BEFORE), name, F.lit(NO_WORD_AFTER))).otherwise(F.concat(F.lit(BOUNDARY), name, F.lit(BOUNDARY)))
+        return F.regexp_replace(acc, pattern, n["alias"])
 
-    return F.aggregate(found, text, step)
+    return F.aggregate(F.filter(found, lambda n: n["alias"].isNotNull()), text, step)
 
 
 def deidentify(segments: DataFrame, key: str = "transcript_id", speakers: bool = True, in_text: bool = True, unicode_aware: bool = False) -> DataFrame:
-    """segments(key, chunk_index, segment_index, text, speaker_id, ...) with pseudonyms, numbered by first mention."""
+    """segments(key, chunk_index, segment_index, text, speaker_id, ...) with pseudonyms, numbered by first mention.
+
+    The segments are written once and read for the mentions and for the replacement.
+    """
     if not (speakers or in_text):
         return segments
-    aliases = participants(segments, key, speakers=speakers, in_text=in_text, unicode_aware=unicode_aware)
-    maps = aliases.groupBy(key).agg(F.collect_list(F.struct("person", "alias")).alias("_aliases"))
-    out = segments.join(maps, key, "left").withColumn("_aliases", F.coalesce("_aliases", F.array().cast("array<struct<person:string,alias:string>>")))
+    segments = materialise(segments, "segments")
+    maps = alias_map(participants(segments, key, speakers=speakers, in_text=in_text, unicode_aware=unicode_aware), key)
+    out = segments.join(maps, key, "left").withColumn("_aliases", F.coalesce("_aliases", F.create_map().cast("map<string,string>")))
     if speakers:
-        speaker = F.get(F.transform(F.filter("_aliases", lambda a: a.person == person_key(F.col("speaker_id"))), lambda a: a["alias"]), F.lit(0))
-        out = out.withColumn("speaker_id", F.when(truthy(F.col("speaker_id")), speaker))
+        out = out.withColumn("speaker_id", F.when(truthy(F.col("speaker_id")), alias_of(F.col("_aliases"), F.col("speaker_id"))))
     if in_text:
         out = out.withColumn("text", replace_names(F.col("text"), F.col("_aliases"), unicode_aware))
     return out.drop("_aliases")

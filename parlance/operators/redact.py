@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import BOUNDARY, WS_SET
+from ..functions.text import BOUNDARY, NO_WORD_AFTER, NO_WORD_BEFORE, WS_SET
 from ..shipping import ship
 
 #: The patterns, in the order that decides ties, with \s for white space; labels of None are configured.
@@ -72,6 +72,10 @@ def pii_redact(df: DataFrame, text: str = "text", labels: Labels = Labels(), mat
 def redact_chained(c: Column, labels: Labels = Labels()) -> Column:
     """The fast native form: patterns applied one after another. Differs from pii_redact where matches overlap."""
     for kind, pattern, label, fold in PATTERNS:
-        java = pattern.replace(r"[-\s]", f"[-{WS_SET}]").replace(r"[-.\s]", f"[-.{WS_SET}]").replace(r"\b", BOUNDARY)
-        c = F.regexp_replace(c, ("(?i)" if fold else "") + java, (label or getattr(labels, kind)).replace("\\", "\\\\").replace("$", "\\$"))
+        java = pattern.replace(r"[-\s]", f"[-{WS_SET}]").replace(r"[-.\s]", f"[-.{WS_SET}]")
+        # A boundary beside a digit needs to look to one side only.
+        java = re.sub(r"^\\b(?=\\d|\(\?:\\d)", lambda _: NO_WORD_BEFORE, java)
+        java = re.sub(r"(\\d\{\d\})\\b$", lambda m: m[1] + NO_WORD_AFTER, java).replace(r"\b", BOUNDARY)
+        done = F.regexp_replace(c, ("(?i)" if fold else "") + java, (label or getattr(labels, kind)).replace("\\", "\\\\").replace("$", "\\$"))
+        c = F.when(c.contains("@"), done).otherwise(c) if kind == "email" else done
     return c

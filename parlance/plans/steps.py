@@ -85,14 +85,12 @@ class DeIdentify(Step):
             return done
         rows = segment.explode_segments(chunks.filter("not stopped"), *KEYS)
         aliases = deidentify.participants(rows, speakers=self.speakers, in_text=self.in_text, unicode_aware=run.unicode_aware)
-        maps = aliases.groupBy("transcript_id").agg(F.collect_list(F.struct("person", "alias")).alias("_aliases"))
-        joined = done.join(maps, "transcript_id", "left").withColumn("_aliases", F.coalesce("_aliases", F.array().cast("array<struct<person:string,alias:string>>")))
+        joined = done.join(deidentify.alias_map(aliases), "transcript_id", "left").withColumn("_aliases", F.coalesce("_aliases", F.create_map().cast("map<string,string>")))
 
         def change(s: Column) -> Column:
             speaker, text = s.speaker_id, s.text
             if self.speakers:
-                found = F.get(F.transform(F.filter("_aliases", lambda a: a.person == deidentify.person_key(s.speaker_id)), lambda a: a["alias"]), F.lit(0))
-                speaker = F.when(deidentify.truthy(s.speaker_id), found)
+                speaker = F.when(deidentify.truthy(s.speaker_id), deidentify.alias_of(F.col("_aliases"), s.speaker_id))
             if self.in_text:
                 text = deidentify.replace_names(s.text, F.col("_aliases"), run.unicode_aware)
             return F.struct(s.id.alias("id"), text.alias("text"), speaker.alias("speaker_id"))
