@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes covered by strings of 400 bytes that occur again; no character is left in part."""
-    return suffix_dedup.cut_documents(docs)
+    """All documents, without the bytes covered by strings of 240 bytes, about fifty words, that occur again; no character is left in part."""
+    return suffix_dedup.cut_documents(docs, suffix_dedup.PASSAGE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,152 +1,200 @@
 """Removal of byte strings that occur more than once, by suffix arrays.
 
 A repeated string of LENGTH bytes is found where its anchor is: the anchor of a window of LENGTH bytes is its leftmost
-K-byte gram of least hash, which depends on the window's content alone. So equal windows have equal anchors at equal
-offsets, and the windows of one anchor occurrence are a run of starts; its context, the bytes these windows cover, is
-all that has to meet the contexts of other occurrences of the same gram.
-
-1. Anchors are counted by their hash over all documents. Only those that occur again send their contexts.
-2. Contexts go to the shard of their anchor. Equal contexts are one, with a count; all its windows are repeated.
-3. Contexts of one anchor that differ are joined to a text, its suffix array is built by Larsson-Sadakane refinement
-   (prefix doubling in numpy, groups that are unique stay as they are), and Kasai's common prefixes mark the windows
-   that occur in another context.
-4. A shard is at most SHARD bytes of text. An anchor with more has several shards, each with its own suffix array; they
-   are merged by binary search: the first LENGTH bytes of each window are looked up in the other shards' sorted
-   suffixes. Shards are sorted once, in the shared folder, and a pair of shards is one task.
-Windows come back to their documents as byte ranges.
+gram (up to K bytes) of least hash, which depends on the window's content alone. So equal windows have equal anchors at
+equal offsets, and the windows of one anchor occurrence are a run of starts; its context, the bytes these windows cover,
+is all that has to meet the contexts of other occurrences of the same gram.
+
+1. Documents are packed into blocks of about BLOCK bytes, the unit in which they are read again and joined.
+2. Anchors are counted by their hash over all documents. Those that occur again are known by the digest of their
+   context. Equal contexts are one, with a count; all its windows are repeated.
+3. Anchors with differing contexts send each of these once. In a task they are joined to texts of TEXT bytes; a
+   text's suffix array is built by Larsson-Sadakane refinement (each round compares as many ranks as fit 64 bits, groups
+   that are unique stay as they are), and Kasai's common prefixes mark the windows that occur in another context.
+4. A shard is at most SHARD bytes of contexts. An anchor with more has several shards. Each sorts its windows once and
+   sends their digests, in runs by range of digest; a range's runs are merged by binary search. The work is linear in
+   the anchor's windows.
+Windows come back to their blocks as ranges of starts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-LENGTH, K = 400, 32
-SHARD = 4_000_000
+LENGTH, K = 400, 64
+#: Bytes of a passage of about fifty words: what op8 reports beside LENGTH, and what the pipeline cuts.
+PASSAGE = 240
+SHARD, BLOCK, TEXT = 1 << 21, 1 << 18, 60_000
 
 
 # ---- anchors
 
+_POWERS: list = []
 
-def gram_hashes(raw, k: int = K):
-    """A 64-bit hash of the k bytes (a power of two) from each position, by doubling; uint64 of len(raw) - k + 1."""
+
+def _powers(n: int):
+    """An odd multiplier's powers and their inverses modulo 2**64."""
     import numpy as np
 
-    h = raw.astype(np.uint64) + np.uint64(0x1234567)
-    size = 1
-    while size < k:
-        a = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size)
-        a ^= a >> np.uint64(32)
-        a += h[size:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        a ^= a >> np.uint64(29)
-        h, size = a, 2 * size
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(n - 1, 1 << 16).bit_length()
+        base, out = 0x9E3779B97F4A7C15, []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        rng = np.random.default_rng(1)
+        _POWERS[:] = [*out, rng.integers(1, 1 << 63, 256, dtype=np.uint64)]
+    return _POWERS
 
 
-def anchors(raw, length: int = LENGTH, k: int = K):
-    """(anchor position, first window start, last window start, hash) of the windows of one text; empty if it is short."""
+def gram_hashes(raw, k: int = K):
+    """A 64-bit hash of the k bytes from each position: a polynomial over the bytes' random values, mixed; len(raw) - k + 1 of them."""
     import numpy as np
 
-    n = len(raw) - length + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
-    h = gram_hashes(raw, k)
-    span = length - k + 1  # grams in a window
-    low = sliding_argmin(h, span)
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    last = np.append(first[1:], n) - 1
-    return low[first], first, last, h[low[first]]
+    powers, inverse, values = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * powers[: len(raw)], out=sums[1:])
+    h = (sums[k:] - sums[:-k]) * inverse[: len(raw) - k + 1]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
-def sliding_argmin(h, span: int):
-    """Leftmost position of the minimum of each run of span values: minima of block prefixes and suffixes."""
+def sliding_least(v, span: int):
+    """Minimum of each run of span values, by runs of doubled length."""
     import numpy as np
 
-    n = len(h)
-    pad = -n % span
-    v = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, span)
-    at = np.arange(n + pad).reshape(-1, span)
+    size = 1
+    while 2 * size <= span:
+        v = np.minimum(v[:-size], v[size:])
+        size *= 2
+    return np.minimum(v[: len(v) - (span - size)], v[span - size :]) if span > size else v
+
+
+def anchors(raw, offsets, length: int = LENGTH, k: int = K):
+    """(document, first window start, number of starts, anchor's place after the first start, hash) of the documents' windows.
 
-    def running(values, places, strict):
-        low = np.minimum.accumulate(values, axis=1)
-        fresh = np.ones(values.shape, bool)
-        fresh[:, 1:] = values[:, 1:] < low[:, :-1] if strict else values[:, 1:] <= low[:, :-1]
-        step = np.maximum.accumulate(np.where(fresh, np.arange(values.shape[1]), 0), axis=1)
-        return low.reshape(-1), np.take_along_axis(places, step, axis=1).reshape(-1)
+    raw holds the documents end to end, cut at offsets. A window's anchor is found by the upper half of the hash, the
+    leftmost of equal ones.
+    """
+    import numpy as np
 
-    head, head_at = running(v, at, True)
-    tail, tail_at = running(v[:, ::-1], at[:, ::-1], False)
-    tail, tail_at = (x.reshape(-1, span)[:, ::-1].reshape(-1) for x in (tail, tail_at))
-    m = n - span + 1
-    left, right = slice(0, m), slice(span - 1, span - 1 + m)
-    return np.where(tail[left] <= head[right], tail_at[left], head_at[right])
+    z = np.zeros(0, np.int64)
+    if len(raw) < length:
+        return z, z, z, z, np.zeros(0, np.uint64)
+    h = gram_hashes(raw, k)
+    place = np.arange(len(h), dtype=np.uint64)
+    low = sliding_least((h & np.uint64(0xFFFFFFFF00000000)) | place, length - k + 1) & np.uint64(0xFFFFFFFF)
+    low = low.astype(np.int64)  # for each window start; those that run into the next document are left out
+    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
+    inside = np.arange(len(low)) + length <= offsets[1:][document]
+    fresh = inside.copy()
+    fresh[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(fresh)
+    starts = np.add.reduceat(inside.astype(np.int64), first) if len(first) else z
+    document = document[first]
+    return document, first - offsets[document], starts, low[first] - first, h[low[first]]
 
 
 # ---- suffix arrays
 
 
-def suffix_array(text):
-    """The suffix array of text (uint8) and its inverse.
+def suffix_array(text, context=None, rest=None):
+    """The suffix array of text (uint8) and its inverse; suffixes end with their context.
 
-    Larsson-Sadakane: ranks by the first 8 bytes, then by pairs of ranks, doubling the depth until all are unique;
-    suffixes whose rank is unique are left in place.
+    context numbers the contexts of the text and rest is the number of bytes from each position to its context's end;
+    without them the text is one. An end comes before all bytes, ends of earlier contexts first, so no two suffixes are
+    equal. Larsson-Sadakane: ranks by the first 7 bytes, then by as many neighbouring ranks as fit 64 bits, which
+    multiplies the depth, until all are unique; suffixes whose rank is unique are left in place.
     """
     import numpy as np
 
     n = len(text)
-    key = byte_words(text)[:n]
+    if context is None:
+        context, rest = np.zeros(n, np.int64), n - np.arange(n)
+    ends = int(context[-1]) + 1 if n else 1
+    bits = (n + ends).bit_length()
+    ways = 64 // bits
+    if ways < 2:
+        raise ValueError("a text of a suffix array has less than 2**31 bytes")
+    held = np.minimum(rest, 7)
+    keep = np.array([((1 << 8 * r) - 1) << (64 - 8 * r) for r in range(8)], np.uint64)
+    key = (byte_words(text)[:n] & keep[held]) | held.astype(np.uint64)
     order = np.argsort(key)
-    rank = np.empty(n, np.int64)
     s = key[order]
     head = np.ones(n, bool)
     head[1:] = s[1:] != s[:-1]
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    done = 8
+    # Ranks of the ends come first, and stand behind those of the suffixes.
+    rank = np.empty(n + ends, np.uint64)
+    rank[n:] = np.arange(ends)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + ends
+    stop, past = np.arange(n) + rest, n + context
+    shift, done = np.uint64(bits), 7
     slots = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in order whose group has more than one suffix
     while len(slots):
         at = order[slots]
-        after = at + done
-        # A suffix that ends within the depth comes before those that go on, the shorter first.
-        key = rank[at] * (2 * n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)] + n + 1, n - at)
+        key, upto, end = rank[at], stop[at], past[at]
+        for way in range(1, ways):
+            after = at + way * done
+            key <<= shift
+            key |= rank[np.where(after < upto, after, end)]
         place = np.argsort(key)
         at, key = at[place], key[place]
         order[slots] = at
         head = np.ones(len(slots), bool)
         head[1:] = key[1:] != key[:-1]
-        rank[at] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+        rank[at] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))] + ends
         slots = slots[~(head & np.append(head[1:], True))]
-        done *= 2
-    return order, rank
+        done *= ways
+    return order, rank[:n].astype(np.int64) - ends
 
 
-def common_prefixes(text, order, rank, starts, sizes, limit: int):
+def common_prefixes(text, order, rank, starts, sizes, limit: int, rest=None, fresh=()):
     """Kasai's array, capped at limit: common prefix of each suffix in order with the one before it.
 
-    The prefix shrinks by at most one from a position to the next. The text is walked from each of `starts` at once,
-    in lanes of `sizes`; a lane's prefix carries over, and is extended 8 bytes at a time.
+    The suffixes in order are those that begin in the runs of `sizes` positions from each of `starts`; rank gives their
+    places. The prefix shrinks by at most one from a position to the next, if the suffix before it moves on within the
+    runs too. The runs are walked at once, in lanes; a lane's prefix carries over, and is extended 8 bytes at a time.
+    rest is the number of bytes to a context's end (default: the text's); the places `fresh` begin new arrays.
     """
     import numpy as np
 
     n = len(text)
-    lcp, words, powers = np.zeros(n, np.int64), byte_words(text), np.array(BYTE_POWERS, np.uint64)
-    before = np.where(rank > 0, order[rank - 1], -1)
+    words, powers = byte_words(text), np.array(BYTE_POWERS, np.uint64)
+    rest = n - np.arange(n) if rest is None else rest
+    lcp, before = np.zeros(len(order), np.int64), np.full(n + 1, -1)
+    before[order[1:]] = order[:-1]
+    before[order[np.asarray(fresh, np.int64)]] = -1
+    walked = np.zeros(n + 1, bool)
+    walked[order] = True
     lanes = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[lanes], sizes[lanes]
-    h = np.zeros(len(lanes), np.int64)
+    h, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), n - 1)
     for step in range(int(sizes[0]) if len(sizes) else 0):
         m = int(np.searchsorted(-sizes, -step, "left"))  # lanes longer than step
         i = starts[:m] + step
         j = before[i]
-        most = np.where(j >= 0, np.minimum(limit, n - np.maximum(i, j)), 0)
-        now = np.minimum(np.maximum(h[:m] - 1, 0), most)
-        live = np.flatnonzero(now < most)
+        most = np.where(j >= 0, np.minimum(limit, np.minimum(rest[i], rest[j])), 0)
+        now = np.where(walked[last[:m] + 1], np.maximum(h[:m] - 1, 0), 0)
+        now = np.minimum(now, most)
+        live, width = np.flatnonzero(now < most), 1
         while len(live):
-            x = words[i[live] + now[live]] ^ words[j[live] + now[live]]
-            now[live] += 8 - np.searchsorted(powers, x, "right")  # leading bytes that agree
-            live = live[(x == 0) & (now[live] < most[live])]
+            # The next words of each lane, clamped to the text's end; the first that differs has the leading bytes that agree.
+            ahead = now[live][:, None] + 8 * np.arange(width)
+            x = words[np.minimum(i[live][:, None] + ahead, n)] ^ words[np.minimum(j[live][:, None] + ahead, n)]
+            same = x == 0
+            full = same.all(axis=1)
+            which = np.where(full, width - 1, np.argmin(same, axis=1))
+            now[live] += 8 * which + 8 - np.searchsorted(powers, x[np.arange(len(live)), which], "right")
+            live = live[full & (now[live] < most[live])]
+            width = 8
         h[:m] = np.minimum(now, most)
+        last[:m] = np.where(j >= 0, j, n - 1)
         lcp[rank[i]] = h[:m]
     return lcp
 
@@ -166,66 +214,72 @@ def byte_words(text):
 
 
 class Shard:
-    """Distinct contexts of anchors as one text with its suffix array; windows never cross contexts."""
+    """Distinct contexts of anchors, joined to texts of about text_bytes with a suffix array each.
+
+    starts[i] windows of each length begin at the first positions of context i; windows never cross contexts. Contexts
+    of one anchor (`groups`, in order) are in one text.
+    """
 
-    def __init__(self, contexts: list, length: int):
+    def __init__(self, contexts: list, starts: list, groups: list, text_bytes: int = TEXT):
         import numpy as np
 
-        self.length = length
         self.sizes = np.array([len(c) for c in contexts], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.array(starts, np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.text = np.frombuffer(b"".join(contexts), np.uint8)
         self.context = np.repeat(np.arange(len(contexts)), self.sizes)
-        self.order, self.rank = suffix_array(self.text)
-        place = np.arange(len(self.text)) - self.starts[self.context]
-        self.whole = place + length <= self.sizes[self.context]  # a window starts here
+        at = np.arange(len(self.text))
+        self.place = at - self.begins[self.context]
+        self.rest = self.sizes[self.context] - self.place
+        member = self.place < self.starts[self.context]
+        orders, self.fresh, size, since = [], [], 0, 0
+        for i in range(len(contexts)):
+            size += len(contexts[i])
+            last = i + 1 == len(contexts)
+            if last or (groups[i + 1] != groups[i] and size + len(contexts[i + 1]) > text_bytes):
+                a = self.begins[since]
+                b = a + size
+                order, _ = suffix_array(self.text[a:b], self.context[a:b] - since, self.rest[a:b])
+                order += a
+                orders.append(order[member[order]])
+                size, since = 0, i + 1
+        self.order = np.concatenate(orders) if orders else np.zeros(0, np.int64)  # windows only
+        self.fresh = np.cumsum([0, *(len(o) for o in orders[:-1])]) if orders else self.fresh
+        self.rank = np.zeros(len(self.text), np.int64)
+        self.rank[self.order] = np.arange(len(self.order))
+
+    def prefixes(self, limit: int):
+        return common_prefixes(self.text, self.order, self.rank, self.begins, self.starts, limit, self.rest, self.fresh)
+
+    def runs(self, lcp, length: int):
+        """(places in order of the windows of length bytes, number of the run of equal ones each is in)."""
+        import numpy as np
 
-    def repeated(self):
-        """For each position, whether its window also starts elsewhere in the shard: runs of common prefixes >= length."""
+        windows = np.flatnonzero(self.rest[self.order] >= length)
+        return windows, np.cumsum(lcp < length)[windows]
+
+    def repeated(self, lcp, length: int):
+        """For each position, whether its window also starts elsewhere in the shard."""
         import numpy as np
 
-        # Prefixes that cross a context's end are no windows; a run is cut only by prefixes that are too short.
-        lcp = common_prefixes(self.text, self.order, self.rank, self.starts, self.sizes, self.length)
-        run = np.cumsum(lcp < self.length)
-        windows = self.whole[self.order]
-        count = np.bincount(run[windows], minlength=int(run[-1]) + 1 if len(run) else 0)
+        windows, run = self.runs(lcp, length)
         out = np.zeros(len(self.text), bool)
-        out[self.order[windows]] = count[run[windows]] > 1
+        out[self.order[windows]] = np.bincount(run)[run] > 1 if len(run) else False
         return out
 
-    def windows(self):
-        """(sorted window bytes as void, positions): the suffix array restricted to windows."""
-        import numpy as np
-
-        at = self.order[self.whole[self.order]]
-        view = np.lib.stride_tricks.sliding_window_view(self.text, self.length) if len(self.text) >= self.length else np.zeros((0, self.length), np.uint8)
-        return view, at
+    def digests(self, lcp, length: int):
+        """(sorted digests of the distinct windows, their context, their place in it)."""
+        import hashlib
 
-    def found_in(self, other: Shard):
-        """For each position, whether its window is one of the other shard's: binary search in its suffix array."""
         import numpy as np
 
-        out = np.zeros(len(self.text), bool)
-        mine, at = self.windows()
-        theirs, there = other.windows()
-        if not len(at) or not len(there):
-            return out
-        for i in range(0, len(at), 1 << 14):
-            part = at[i : i + (1 << 14)]
-            lo, hi = np.zeros(len(part), np.int64), np.full(len(part), len(there), np.int64)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                where = np.flatnonzero(open_)
-                a, b = mine[part[where]], theirs[there[mid[where]]]
-                differ = a != b
-                first = differ.argmax(axis=1)
-                rows = np.arange(len(where))
-                less = differ[rows, first] & (b[rows, first] < a[rows, first])
-                lo[where[less]] = mid[where[less]] + 1
-                hi[where[~less]] = mid[where[~less]]
-            hit = np.flatnonzero(lo < len(there))
-            out[part[hit]] = (mine[part[hit]] == theirs[there[lo[hit]]]).all(axis=1)
-        return out
+        windows, run = self.runs(lcp, length)
+        at = self.order[windows[np.unique(run, return_index=True)[1]]]
+        raw = self.text.tobytes()
+        # 15 bytes and a last one that is not 0: numpy's byte strings end at zeros.
+        keys = np.array([hashlib.blake2b(raw[i : i + length], digest_size=15).digest() + b"\1" for i in at.tolist()], "S16")
+        by = np.argsort(keys)
+        return keys[by], self.context[at[by]], self.place[at[by]]
 
 
 def runs_of(flags):
@@ -236,244 +290,431 @@ def runs_of(flags):
     return edge[::2], edge[1::2]
 
 
+def could_repeat(contexts: list, starts: list, places: list, length: int, k: int) -> list[int]:
+    """Of the differing contexts of one anchor, those that can share a window.
+
+    A window has half of its bytes beside the anchor's gram on one side of it, so that half must be the same in another context.
+    """
+    from collections import Counter
+
+    half = (length - k + 1) // 2
+    sides = []
+    for c, n, at in zip(contexts, starts, places, strict=True):
+        right = c[at : at + k + half] if n - 1 + length >= at + k + half else None
+        left = c[at - half : at + k] if at >= half else None
+        sides.append((right, left))
+    rights, lefts = Counter(r for r, _ in sides), Counter(s for _, s in sides)
+    return [i for i, (r, s) in enumerate(sides) if (r is not None and rights[r] > 1) or (s is not None and lefts[s] > 1)]
+
+
 # ---- stages
 
 
-def _anchor_rows(length: int):
+def _pack_blocks(batches):
+    """Rows (rid, doc_id, text[, others]) as blocks of about BLOCK bytes, each a row of lists; a longer text is a block of its own."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+            part = batch.slice(at, to - at)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+            yield pa.RecordBatch.from_arrays([part.column("rid").slice(0, 1), *lists], ["block", *batch.schema.names])
+            at = to
+
+
+def _documents(batch, i: int):
+    """(bytes end to end, offsets) of the texts of block i of a batch."""
+    import pyarrow as pa
+
+    return common.utf8_buffer(batch.column("text")[i].values.cast(pa.large_string()))
+
+
+def _anchor_rows(length: int, k: int):
+    """(block, h, n, spots) for each anchor of a block; spots are (document, first, starts, place) of its occurrences, as int32."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for rids, texts in common.text_slices(batch.column("rid"), batch.column("text")):
-                raw, o = common.utf8_buffer(texts)
-                parts = [(rid, *anchors(raw[a:b], length)) for rid, a, b in zip(rids.to_pylist(), o[:-1], o[1:], strict=True) if b - a >= length]
-                if parts:
-                    rid = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-                    first, last, h = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-                    # The same gram of the same text in a run: periodic text; it occurs again by itself.
-                    yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(h.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["rid", "h", "first", "last"])
+            for i in range(len(batch)):
+                raw, offsets = _documents(batch, i)
+                *spots, h = anchors(raw, offsets, length, k)
+                if not len(h):
+                    continue
+                by = np.argsort(h, kind="stable")
+                h = h[by]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                packed = np.stack([s[by] for s in spots], axis=1).astype("<i4")
+                ends = np.append(first, len(h)).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(16)), pa.py_buffer(packed.tobytes())])
+                block = pa.array(np.full(len(first), batch.column("block")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([block, pa.array(h[first].view(np.int64)), pa.array(np.diff(ends)), binary], ["block", "h", "n", "spots"])
 
     return run
 
 
-CONTEXTS = "h long, digest binary, context binary, rid long, first int"
+PLACES = "block long, h long, digest binary, n int, size int, starts int, place int, document int, first int, spots binary"
 
 
-def _context_rows(length: int):
-    """Contexts of the anchors that occur again; within a batch equal contexts carry their bytes once."""
+def _place_rows(longest: int, length: int):
+    """For each context of a block that may be repeated: its digest, where it first occurs, and all (document, first) as int32.
+
+    A context reaches `longest` bytes from its last start, or to its document's end.
+    """
 
     def run(batches):
-        import hashlib
+        from struct import pack
 
+        import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        names, kinds = ["h", "digest", "context", "rid", "first"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+        names = [c.split()[0] for c in PLACES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 6, pa.binary()]
         for batch in batches:
-            out, held, sent = [[] for _ in names], 0, set()
-            for rid, text, spots in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "spots")), strict=True):
-                data = text.encode()
-                for s in spots:
-                    context = data[s["first"] : s["last"] + length]
-                    digest = hashlib.blake2b(context, digest_size=16).digest()
-                    new = (s["h"], digest) not in sent
-                    sent.add((s["h"], digest))
-                    for o, v in zip(out, (s["h"], digest, context if new else None, rid, s["first"]), strict=True):
-                        o.append(v)
-                    held += len(context) if new else 0
-                    if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
-                        out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
+            for i in range(len(batch)):
+                raw, offsets = _documents(batch, i)
+                data = raw.tobytes()
+                block = batch.column("block")[i].as_py()
+                found = batch.column("found")[i].values
+                out = [[] for _ in names]
+                hashes, blobs = found.field("h").to_pylist(), found.field("spots").to_pylist()
+                owner = np.repeat(np.arange(len(blobs)), [len(b) // 16 for b in blobs])
+                spots = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 4)
+                begin = offsets[spots[:, 0]] + spots[:, 1]
+                end = np.minimum(begin + spots[:, 2] - 1 + longest, offsets[spots[:, 0] + 1])
+                here = {}
+                for o, a, b, (d, first, starts, place) in zip(owner.tolist(), begin.tolist(), end.tolist(), spots.tolist(), strict=True):
+                    key = (o, xxhash.xxh3_128_digest(data[a:b], starts))
+                    if key in here:
+                        here[key][-1] += (d, first)
+                    else:
+                        here[key] = [b - a, starts, place, d, first, [d, first]]
+                for (o, digest), (*facts, at) in here.items():
+                    for c, v in zip(out, (block, hashes[o], digest, len(at) // 2, *facts, pack(f"<{len(at)}i", *at)), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(o, kind) for o, kind in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def _marked(shard: Shard, keys, flags, one_sided: bool = False):
-    """(h, digest, ranges) for each context with repeated windows; ranges are window starts [a, b) within the context."""
-    out = []
-    for i, key in enumerate(keys):
-        a, b = runs_of(flags[shard.starts[i] : shard.starts[i] + shard.sizes[i]])
-        if len(a):
-            out.append((*key, [{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)]))
-    return out
+CONTEXTS = "h long, shard long, shards long, digest binary, starts int, place int, context binary"
 
 
-RANGES = "h long, digest binary, ranges array<struct<a: int, b: int>>"
+def _context_rows(batches):
+    """The wanted contexts of each block."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    for batch in batches:
+        for i in range(len(batch)):
+            raw, offsets = _documents(batch, i)
+            data, ends = raw.tobytes(), offsets.tolist()
+            rows = batch.column("want")[i].values
+            spots = zip(*(rows.field(c).to_pylist() for c in ("document", "first", "size")), strict=True)
+            contexts = [data[ends[d] + a : ends[d] + a + size] for d, a, size in spots]
+            yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in names[:-1]), pa.array(contexts, pa.binary())], names)
+
+
+#: ranges: (length's number, a, b) as int32, window starts a to b - 1 of a context. keys and the rest: sorted windows of a
+#: shard whose anchor has more, for the merge; spots: (context's number in digests, place) as int32.
+FOUND = "h long, digest binary, ranges binary, which int, slice int, keys binary, spots binary, digests binary"
 
 
-def _ranges_batch(rows):
+def _found_batch(rows: list):
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), kind))], ["h", "digest", "ranges"])
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    full = [r if len(r) == len(names) else (*r, *[None] * (len(names) - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], kind) for i, kind in enumerate(kinds)], names)
 
 
-def _shards(length: int, shard_bytes: int):
-    """Rows sorted by (h, shard): one suffix array for as many whole (h, shard) groups as fit shard_bytes."""
+def _shards(lengths: tuple, k: int, shard_bytes: int):
+    """Rows sorted by (h, shard): suffix arrays of as many whole (h, shard) groups as fit shard_bytes."""
 
-    def solve(keys, contexts):
-        shard = Shard(contexts, length)
-        return _ranges_batch(_marked(shard, keys, shard.repeated()))
+    def solve(groups):
+        import numpy as np
+
+        h, shards, digests, contexts, starts = ([r[i] for g in groups for r in g] for i in (0, 1, 2, 4, 3))
+        shard = Shard(contexts, starts, h)
+        lcp = shard.prefixes(max(lengths))
+        parts = {}
+        for which, length in enumerate(lengths):
+            a, b = runs_of(shard.repeated(lcp, length))
+            c = shard.context[a] if len(a) else a
+            for i, x, y in zip(c.tolist(), (a - shard.begins[c]).tolist(), (b - shard.begins[c]).tolist(), strict=True):
+                parts.setdefault(i, []).extend((which, x, y))
+        rows = [(h[i], digests[i], np.array(p, "<i4").tobytes()) for i, p in parts.items()]
+        if shards[0] > 1:  # then the group is alone
+            table = b"".join(digests)
+            for which, length in enumerate(lengths):
+                keys, c, place = shard.digests(lcp, length)
+                piece = keys.view("u1").reshape(-1, 16)[:, :4].copy().view(">u4")[:, 0].astype(np.int64) * shards[0] >> 32
+                cuts = np.searchsorted(piece, np.arange(shards[0] + 1))
+                for s in range(shards[0]):
+                    x, y = cuts[s], cuts[s + 1]
+                    if x < y:
+                        used, number = np.unique(c[x:y], return_inverse=True)
+                        names = b"".join(table[16 * u : 16 * u + 16] for u in used.tolist())
+                        spots = np.stack([number, place[x:y]], axis=1).astype("<i4").tobytes()
+                        rows.append((h[0], None, None, which, s, keys[x:y].tobytes(), spots, names))
+        return rows
+
+    def ready(group):
+        """The contexts of a group that can share a window of the shortest length, unless the anchor has other shards."""
+        if group[0][1] > 1:
+            return group
+        return [group[i] for i in could_repeat([r[4] for r in group], [r[3] for r in group], [r[5] for r in group], min(lengths), k)]
 
     def run(batches):
-        groups, keys, contexts, size, now = [], [], [], 0, None
+        held, size, group, now = [], 0, [], None
+
+        def close():
+            nonlocal held, size, group
+            done, group = ready(group) if group else [], []
+            alone = bool(done) and done[0][1] > 1
+            if held and (alone or size > shard_bytes // 2):
+                yield _found_batch(solve(held))
+                held, size = [], 0
+            if done:
+                held.append(done)
+                size += sum(len(r[4]) for r in done)
+            if alone:
+                yield _found_batch(solve(held))
+                held, size = [], 0
+
         for batch in batches:
-            for h, part, digest, context in zip(*(batch.column(c).to_pylist() for c in ("h", "shard", "digest", "context")), strict=True):
-                if (h, part) != now:
-                    now = (h, part)
-                    groups.append(len(keys))
-                    if size > shard_bytes // 2:
-                        yield solve(keys, contexts)
-                        groups, keys, contexts, size = [], [], [], 0
-                keys.append((h, digest))
-                contexts.append(context)
-                size += len(context)
-        if keys:
-            yield solve(keys, contexts)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "shard", "shards", "digest", "starts", "context", "place")), strict=True):
+                if row[:2] != now:
+                    yield from close()
+                    now = row[:2]
+                group.append((row[0], *row[2:]))
+        yield from close()
+        if held:
+            yield _found_batch(solve(held))
 
     return run
 
 
-def _cross(length: int):
-    """Rows sorted by (h, low, high, side): the two shards of a pair, looked up in each other."""
+def merged(runs: list):
+    """(keys, owner, row, whether the key is in more than one run) of sorted runs of distinct keys, by binary search of one half in the other."""
+    import numpy as np
 
-    def run(batches):
-        now, sides = None, None
+    if len(runs) == 1:
+        keys, owner = runs[0]
+        return keys, np.full(len(keys), owner), np.arange(len(keys)), np.zeros(len(keys), bool)
+    mid = len(runs) // 2
+    a, b = merged(runs[:mid]), merged(runs[mid:])
+    for x, y in ((a, b), (b, a)):
+        at = np.searchsorted(y[0], x[0])
+        inside = at < len(y[0])
+        x[3][inside] |= y[0][at[inside]] == x[0][inside]
+    at = np.searchsorted(a[0], b[0])
+    return [np.insert(x, at, y) for x, y in zip(a, b, strict=True)]
+
+
+def _merge(batches):
+    """Rows sorted by (h, slice, which): the shards' runs of sorted windows; those that several shards hold, as ranges."""
+    import numpy as np
 
-        def solve():
-            if sides and sides[0] and sides[1]:
-                a, b = (Shard([c for _, c in s], length) for s in sides)
-                rows = _marked(a, [k for k, _ in sides[0]], a.found_in(b)) + _marked(b, [k for k, _ in sides[1]], b.found_in(a))
+    def solve(which, rows):
+        keys = [(np.frombuffer(r[0], "S16"), i) for i, r in enumerate(rows)]
+        _, owner, row, hit = merged(keys)
+        parts = {}
+        for o, r in zip(owner[hit].tolist(), row[hit].tolist(), strict=True):
+            number, place = spots[o][r]
+            parts.setdefault((o, int(number)), []).extend((which, int(place), int(place) + 1))
+        return parts
+
+    now, rows = None, []
+    for batch in [*batches, None]:
+        listed = zip(*(batch.column(c).to_pylist() for c in ("h", "slice", "which", "keys", "spots", "digests")), strict=True) if batch is not None else [(None,) * 6]
+        for h, piece, which, *row in listed:
+            if (h, piece, which) != now:
                 if rows:
-                    yield _ranges_batch(rows)
+                    spots = [np.frombuffer(r[1], "<i4").reshape(-1, 2) for r in rows]
+                    found = solve(now[2], rows)
+                    if found:
+                        yield _found_batch([(now[0], rows[o][2][16 * c : 16 * c + 16], np.array(p, "<i4").tobytes()) for (o, c), p in found.items()])
+                now, rows = (h, piece, which), []
+            if h is not None:
+                rows.append(row)
 
-        for batch in batches:
-            for h, low, high, side, digest, context in zip(*(batch.column(c).to_pylist() for c in ("h", "low", "high", "side", "digest", "context")), strict=True):
-                if (h, low, high) != now:
-                    yield from solve()
-                    now, sides = (h, low, high), ([], [])
-                sides[side].append(((h, digest), context))
-        yield from solve()
 
-    return run
+def covered_bytes(rows, offsets, lengths: tuple) -> list:
+    """For each length, the bytes of a block that its repeated windows cover; rows are the block's contexts that have any."""
+    import numpy as np
+
+    total = int(offsets[-1])
+    if not len(rows):
+        return [np.zeros(total, bool) for _ in lengths]
+    spots = rows.field("spots")
+    counts = np.diff(np.frombuffer(spots.buffers()[1], np.int32)[spots.offset : spots.offset + len(spots) + 1]) // 8
+    packed = np.frombuffer(b"".join(spots.to_pylist()), "<i4").reshape(-1, 2)
+    base = offsets[packed[:, 0]] + packed[:, 1]
+    first = np.cumsum(counts) - counts
+    whole = rows.field("whole").to_numpy(zero_copy_only=False)
+    size, starts = (rows.field(c).to_numpy() for c in ("size", "starts"))
+    parts = [(i, np.frombuffer(b"".join(r), "<i4").reshape(-1, 3)) for i, r in enumerate(rows.field("ranges").to_pylist()) if r and not whole[i]]
+    owner = np.repeat([i for i, _ in parts], [len(r) for _, r in parts]).astype(np.int64)
+    ranges = np.concatenate([r for _, r in parts]) if parts else np.zeros((0, 3), np.int32)
+    covered = []
+    for which, length in enumerate(lengths):
+        ends = np.where(whole, np.minimum(starts, size - length + 1), 0)  # equal contexts: all their windows
+        a, b = [base], [base + np.repeat(ends, counts)]
+        mine = ranges[:, 0] == which
+        here, times = owner[mine], counts[owner[mine]]
+        at = np.repeat(first[here] - (np.cumsum(times) - times), times) + np.arange(times.sum())  # each range at each place of its context
+        for ends_, column in ((a, 1), (b, 2)):
+            ends_.append(base[at] + np.repeat(ranges[mine, column], times))
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = a[b > a], b[b > a] + length - 1
+        covered.append(np.cumsum(np.bincount(a, minlength=total + 1) - np.bincount(b, minlength=total + 1))[:-1] > 0)
+    return covered
 
 
 RESULT = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(length: int, keep_text: bool):
+def _cut(lengths: tuple, keep_text: bool):
+    """The documents of each block without what is covered by repeated windows of the first length; of others, the bytes covered."""
+
     def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
-        names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-        kinds = [pa.int64()] * 5 + [pa.string()] * (1 + keep_text)
+        names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(f"n_repeated_{n}" for n in lengths[1:])] + ["kept"] * keep_text
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.int64()] * (len(lengths) - 1) + [pa.string()] * keep_text
         for batch in batches:
-            out, held, since = [[] for _ in names], 0, 0
-
-            def made(to, batch=batch):
-                more = [batch.column("others").slice(since, to - since)] if keep_text else []
-                return pa.RecordBatch.from_arrays([*(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), *more], names + ["others"] * keep_text)
-
+            found = batch.column("found")
             for i in range(len(batch)):
-                rid, doc_id, text, spans = (batch.column(c)[i].as_py() for c in ("rid", "doc_id", "text", "spans"))
-                data = text.encode()
-                gone, runs, kept = 0, 0, data
-                if spans:
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    at = np.array([(s["first"] + r["a"], s["first"] + r["b"]) for s in spans for r in s["found"]], np.int64)
-                    np.add.at(edge, at[:, 0], 1)
-                    np.add.at(edge, at[:, 1] + length - 1, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone, runs = int(covered.sum()), len(runs_of(covered)[0])
-                    kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
-                row = [rid, doc_id, len(data), gone, runs, hashlib.sha256(kept).hexdigest()]
+                raw, offsets = _documents(batch, i)
+                rows = found[i].values if found[i].is_valid else found.values.slice(0, 0)
+                covered = covered_bytes(rows, offsets, lengths)
+                gone = covered[0]
+                keeps, data = ~gone, raw.tobytes()
+                sums = [np.concatenate([[0], np.cumsum(c)]) for c in covered]
+                inner = np.zeros(len(raw) + 1, np.int64)
+                if len(raw):
+                    begin = gone.copy()
+                    begin[1:] &= ~gone[:-1]
+                    heads = offsets[:-1][offsets[:-1] < len(raw)]
+                    begin[heads] = gone[heads]
+                    inner[1:] = np.cumsum(begin)
+                a, b = offsets[:-1], offsets[1:]
+                removed = sums[0][b] - sums[0][a]
+                kept = []
+                for x, y, r in zip(a.tolist(), b.tolist(), removed.tolist(), strict=True):
+                    kept.append(raw[x:y][keeps[x:y]].tobytes() if r else data[x:y])
+                here = [batch.column(c) for c in ("rid", "doc_id")]
+                here = [c[i].values for c in here]
+                columns = [*here, b - a, removed, inner[b] - inner[a], [hashlib.sha256(k).hexdigest() for k in kept], *(s[b] - s[a] for s in sums[1:])]
                 if keep_text:  # characters that lost some of their bytes go as a whole
-                    row.append(kept.decode("utf-8", "ignore"))
-                    held += len(kept)
-                for o, v in zip(out, row, strict=True):
-                    o.append(v)
-                if held > 1 << 23:
-                    yield made(i + 1)
-                    out, held, since = [[] for _ in names], 0, i + 1
-            yield made(len(batch))
+                    columns.append([k.decode("utf-8", "ignore") for k in kept])
+                made = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                if keep_text:
+                    made.append(batch.column("others")[i].values)
+                yield pa.RecordBatch.from_arrays(made, names + ["others"] * keep_text)
 
     return run
 
 
 def _bucketed(df: DataFrame, parts: int, tag: str) -> DataFrame:
-    """df as a table of the warehouse, bucketed by rid, so that joins on rid leave the texts where they are."""
+    """df as a table of the warehouse, bucketed by block, so that joins on block leave the texts where they are."""
     import uuid
 
     spark = df.sparkSession
     name = f"parlance_{tag}_{uuid.uuid4().hex}"
-    df.repartition(parts, "rid").write.bucketBy(parts, "rid").sortBy("rid").option("path", common.shared_path(spark, tag)).option("compression", "zstd").saveAsTable(name)
+    df.repartition(parts, "block").write.bucketBy(parts, "block").sortBy("block").option("path", common.shared_path(spark, tag)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD, also: int | None = None
+) -> DataFrame:
     """One row per row of docs: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    With keep_text also kept, the remaining text, and others, a struct of docs' other columns.
-
     Every byte is removed that is covered by a string of `length` bytes that also starts anywhere else, in the same
-    document or another; matches never cross documents and overlaps count. Null counts as empty. Repeated rows remove
-    each other; other columns are ignored, whatever their names; an empty table gives no rows.
+    document or another; matches never cross documents and overlaps count. With `also`, a lesser length, a column
+    n_repeated_<also> counts the bytes that are covered by repeated strings of that length; nothing else changes. With
+    keep_text also kept, the remaining text, and others, a struct of docs' other columns.
+
+    Null counts as empty. Repeated rows remove each other; ids decide nothing and may be null or repeated; other columns
+    are ignored, whatever their names; a very long text is a block of its own; an empty table gives no rows.
     """
+    import pyspark.sql.types as T
+
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
+    lengths = (length,) if also is None else (length, also)
+    least = min(lengths)
+    k = max(1, min(K, least // 4))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     carried = [F.struct(*others).alias("others") if others else F.lit(None).cast("string").alias("others")] if keep_text else []
     source = common.source(docs, id_col, text_col, F.monotonically_increasing_id().alias("rid"), *carried)
-    texts = _bucketed(source.withColumn("text", F.coalesce("text", F.lit(""))), parts, "suffix_texts")
+    source = source.withColumn("text", F.coalesce("text", F.lit("")))
+    listed = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in source.schema)])
+    blocks = _bucketed(source.mapInArrow(_pack_blocks, listed), parts, "suffix_texts")
+    texts = blocks.select("block", "text")
 
-    found = common.materialise(texts.select("rid", "text").mapInArrow(_anchor_rows(length), "rid long, h long, first int, last int"), "suffix-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    anchored = common.materialise(texts.mapInArrow(_anchor_rows(least, k), "block long, h long, n int, spots binary"), "suffix-anchors")
+    again = anchored.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).filter("n > 1").select("h", "blocks")
     again = common.materialise(again, "suffix-again")
-    spots = common.join_classes(found, again, ["h"], "n", found.count()).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "h"))).alias("spots"))
-    contexts = texts.select("rid", "text").join(spots, "rid").select("rid", "text", "spots").mapInArrow(_context_rows(length), CONTEXTS)
-    contexts = common.materialise(contexts, "suffix-contexts")
+    spots = common.join_classes(anchored.select("block", "h", "spots"), again, ["h"], "blocks", anchored.count())
+    spots = spots.groupBy("block").agg(F.collect_list(F.struct("h", "spots")).alias("found"))
+    places = texts.join(spots, "block").mapInArrow(_place_rows(length, least), PLACES)
+    places = common.materialise(places, "suffix-places")
 
-    distinct = contexts.filter("context is not null").groupBy("h", "digest").agg(F.first("context").alias("context"))
-    distinct = common.materialise(distinct, "suffix-distinct")
-    copies = contexts.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.max(F.length("context")).alias("size"))
+    rep = F.min(F.struct("block", "document", "first")).alias("rep")
+    copies = places.groupBy("h", "digest").agg(F.sum("n").alias("copies"), F.count("*").alias("blocks"), *(F.max(c).alias(c) for c in ("size", "starts", "place")), rep)
     copies = common.materialise(copies, "suffix-copies")
-    twice = copies.filter("copies > 1").select("h", "digest", F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - length + 1).cast("int").alias("b"))).alias("ranges"))
     mixed = copies.groupBy("h").agg(F.count("*").alias("variants"), F.sum("size").alias("bytes")).filter("variants > 1")
-    shards = distinct.join(mixed.select("h", F.ceil(F.col("bytes") / shard_bytes).alias("shards")), "h")
-    shards = shards.withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")))
-    shards = common.materialise(shards, "suffix-shards")
-    within = shards.repartition(parts, "h", "shard").sortWithinPartitions("h", "shard").select("h", "shard", "digest", "context").mapInArrow(_shards(length, shard_bytes), RANGES)
-    ranges = twice.unionByName(within)
-    many = shards.filter("shards > 1")
-    if not many.isEmpty():
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1))
-        pairs = many.withColumn("other", other).filter("shard <> other")
-        pairs = pairs.select("h", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), (F.col("shard") > F.col("other")).cast("int").alias("side"), "digest", "context")
-        pairs = pairs.repartition(parts, "h", "low", "high").sortWithinPartitions("h", "low", "high", "side")
-        ranges = ranges.unionByName(pairs.mapInArrow(_cross(length), RANGES))
-    ranges = common.materialise(ranges.select("h", "digest", F.explode("ranges").alias("r")).select("h", "digest", "r.a", "r.b"), "suffix-ranges")
-
-    # Back to the documents: a context has few ranges, its occurrences may be a third of all, and are not grouped.
-    by_context = ranges.groupBy("h", "digest").agg(F.collect_set(F.struct("a", "b")).alias("found")).join(copies.select("h", "digest", "copies"), ["h", "digest"])
+    mixed = mixed.select("h", F.ceil(F.col("bytes") / shard_bytes).alias("shards"))
+    wanted = copies.join(mixed, "h").withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")))
+    fields = ["h", "shard", "shards", "digest", "starts", "place", F.col("rep.document").alias("document"), F.col("rep.first").alias("first"), "size"]
+    wanted = wanted.groupBy(F.col("rep.block").alias("block")).agg(F.collect_list(F.struct(*fields)).alias("want"))
+    contexts = texts.join(wanted, "block").mapInArrow(_context_rows, CONTEXTS)
+    within = contexts.repartition(parts, "h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_shards(lengths, k, shard_bytes), FOUND)
+    within = common.materialise(within, "suffix-shards")
+    ranges = within.filter("ranges is not null").select("h", "digest", "ranges")
+    windows = within.filter("keys is not null")
+    if not windows.isEmpty():
+        windows = windows.repartition(parts, "h", "slice").sortWithinPartitions("h", "slice", "which")
+        ranges = ranges.unionByName(windows.mapInArrow(_merge, FOUND).select("h", "digest", "ranges"))
+
+    # Back to the blocks: a context has few ranges, and a block names it once, whatever its occurrences.
+    ranges = ranges.groupBy("h", "digest").agg(F.collect_list("ranges").alias("ranges"))
+    by_context = copies.select("h", "digest", "blocks", "size", "starts", (F.col("copies") > 1).alias("whole")).join(ranges, ["h", "digest"], "left")
+    by_context = by_context.filter("whole or ranges is not null")
     by_context = common.materialise(by_context, "suffix-found")
-    places = contexts.select("h", "digest", "rid", "first")
-    spans = common.join_classes(places, by_context, ["h", "digest"], "copies", places.count())
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("first", "found")).alias("spans"))
-    kind = RESULT + (f", kept string, others {texts.schema['others'].dataType.simpleString()}" if keep_text else "")
-    columns = ["rid", "doc_id", "text", "spans"] + ["others"] * keep_text
-    return texts.join(spans, "rid", "left").select(*columns).mapInArrow(_cut(length, keep_text), kind)
+    spans = common.join_classes(places.select("block", "h", "digest", "spots"), by_context, ["h", "digest"], "blocks", places.count())
+    spans = spans.groupBy("block").agg(F.collect_list(F.struct("whole", "size", "starts", "ranges", "spots")).alias("found"))
+    kind = RESULT + "".join(f", n_repeated_{n} long" for n in lengths[1:])
+    if keep_text:
+        kind += f", kept string, others {blocks.schema['others'].dataType.elementType.simpleString()}"
+    return blocks.join(spans, "block", "left").mapInArrow(_cut(lengths, keep_text), kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents")).drop("rid")
+    """op8, and beside it how many bytes are in repeated strings of PASSAGE bytes."""
+    return remove_repeats(common.table(spark, sf_dir, "documents"), also=PASSAGE).drop("rid")
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """docs with what repeats cut from the text, and size_col, if docs has it, counted anew; all rows and columns stay."""
+    """docs with what repeats cut from the text, and size_col, if docs has it, counted anew; all rows and columns stay.
+
+    Null texts become empty; ids, nulls and repeats among them included, stay as they are.
+    """
     cut = remove_repeats(docs, length, id_col, text_col, keep_text=True)
     own = {id_col: F.col("doc_id"), text_col: F.col("kept"), size_col: F.length("kept").cast("bigint")}
     return cut.select(*(own.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
