@@ -1,13 +1,14 @@
 """Exact dedup over an extendible-hash index on shared files, with DataFrame functions only.
 
 Directory: texts are hashed to 64 bits and counted by the first MAX_DEPTH bits; starting from one bucket, the directory
-doubles and every bucket above `capacity` splits, until all fit or MAX_DEPTH is reached. It has at most 2^MAX_DEPTH
-entries whatever the input. Buckets, in key order, are dealt in contiguous ranges to owner tasks.
-
-Index: entries (bucket, hash, digest, chain number) are written to the shared folder, one entry per distinct text.
-Texts are compared byte by byte, as grouping by the text itself does; copies collapse in the map tasks, before any
-shuffle, so a group with a third of all rows arrives as one row per task. Different texts with one hash are chained;
-if even their SHA-256 is equal, rows find their entry by the text.
+doubles and every bucket above `capacity` splits, until all fit or MAX_DEPTH is reached, beyond which buckets grow. It
+has at most 2^MAX_DEPTH entries whatever the input. Buckets, in key order, are dealt in contiguous ranges to owners.
+
+Index: rows that share hash and digest with none are entries of their own. The texts of all others go to the owner of
+their bucket, which sorts them by (bucket, hash) and compares the bytes of neighbours: equal ones are one entry, others
+are chained. Before that, copies collapse within SALTS groups of tasks, so that a text with a third of all rows reaches
+its owner in SALTS rows at most. Entries (owner, bucket, hash, digest, chain number) are written to the shared folder,
+and rows take keep_id and group size from there; where two texts have one hash and one digest, by the text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import common
 
 MAX_DEPTH = 16
-CAPACITY = 100_000
+#: Entries of a bucket, about a page of 16 KB.
+CAPACITY = 256
+#: Into so many rows at most do the copies of a text collapse before they meet at their owner.
+SALTS = 64
+#: Owners for each shuffle partition, so that partitions even out.
+OWNERS = 4
 
 
 def build_directory(spark: SparkSession, hashes: DataFrame, capacity: int, owners: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
@@ -51,6 +57,33 @@ def build_directory(spark: SparkSession, hashes: DataFrame, capacity: int, owner
     return spark.createDataFrame(rows, "cell int, bucket int, depth int, owner int"), depth
 
 
+def chained(texts: DataFrame, classes: DataFrame, directory: DataFrame, depth: int, total: int) -> DataFrame:
+    """The index: (owner, bucket, h, chain, digest, keep_id, group_size, clash), an entry for each distinct text.
+
+    texts has id, h, text and digest; classes(h, digest, rows, keep_id) counts its rows. clash marks entries whose hash
+    and digest another text has too.
+    """
+    parts = common.shuffle_partitions(texts.sparkSession)
+    cell = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", cell).join(F.broadcast(directory.select("cell", "bucket", "owner")), "cell").drop("cell").repartition(parts, "owner")
+
+    several = classes.filter("rows > 1").select("h", "digest", "rows")
+    met = common.join_classes(texts, several, ["h", "digest"], "rows", total)
+    met = met.groupBy("h", "text", "digest", (F.spark_partition_id() % SALTS).alias("salt")).agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
+    chain = Window.partitionBy("owner", "bucket", "h").orderBy("text")
+    fresh = F.when(F.col("text") == F.lag("text").over(chain), 0).otherwise(1)
+    met = dealt(met).withColumn("fresh", fresh).withColumn("link", F.sum("fresh").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.groupBy("owner", "bucket", "h", "link").agg(F.first("digest").alias("digest"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    alone = dealt(classes.filter("rows = 1").select("h", F.lit(0).cast("bigint").alias("link"), "digest", "keep_id", F.col("rows").alias("group_size")))
+    entries = met.unionByName(alone, allowMissingColumns=True).repartition(parts, "owner")
+    place = Window.partitionBy("owner", "bucket", "h")
+    same = F.count("*").over(Window.partitionBy("owner", "bucket", "h", "digest"))
+    entries = entries.withColumns({"clash": same > 1, "chain": F.row_number().over(place.orderBy("digest", "link"))})
+    return entries.select("owner", "bucket", "h", "chain", "digest", "keep_id", "group_size", "clash").sortWithinPartitions("owner", "bucket", "h", "chain")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -71,16 +104,12 @@ def exact_dedup(
     rows = common.materialise(base.select("id", "h", digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("rid")), "dedup-rows")
     total = rows.count()
 
-    owners = common.shuffle_partitions(spark)
-    directory, depth = build_directory(spark, rows.select("h", "digest").distinct(), capacity, owners)
-    cell = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-
-    texts = base.groupBy("h", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = Window.partitionBy("h", "digest")
-    entries = texts.select("h", digest_of(F.col("text")).alias("digest"), "keep_id", "group_size", F.length("text").alias("length"))
-    entries = entries.withColumns({"clash": F.count("*").over(same) > 1, "chain": F.row_number().over(Window.partitionBy("h").orderBy("digest", "length", F.col("keep_id")))})
-    entries = entries.withColumn("cell", cell).join(F.broadcast(directory), "cell").drop("cell")
-    index = common.materialise(entries.repartition(owners, "owner").sortWithinPartitions("bucket", "h", "chain"), "dedup-index")
+    owners = OWNERS * common.shuffle_partitions(spark)
+    classes = rows.groupBy("h", "digest").agg(F.count("*").alias("rows"), F.max("id").alias("keep_id"))
+    classes = common.materialise(classes, "dedup-classes")
+    directory, depth = build_directory(spark, classes.select("h", "digest"), capacity, owners)
+    index = chained(base.withColumn("digest", digest_of(F.col("text"))), classes, directory, depth, total)
+    index = common.materialise(index, "dedup-index")
 
     once = rows.groupBy("h", "digest").agg(F.max(F.struct("id", "rid")).alias("last"))
     plain = index.filter("not clash").join(once.select("h", "digest", F.col("last.rid").alias("keep_rid")), ["h", "digest"])

@@ -270,3 +270,24 @@ def test_sentencepiece_random():
         raw = np.frombuffer(text.encode(), np.uint8)
         ids = fst.encode(raw, np.array([0, len(raw)]))[0].tolist()
         assert ids == sp.encode(text) and fst.decode(ids) == sp.decode(ids)
+
+
+def test_exact_dedup_index(spark, docs, sf):
+    """The index decides: its directory doubles on a small table, equal texts are one entry, texts of one hash are chained."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    for hash_of, capacity in ((F.xxhash64, 16), (lambda c: F.shiftleft(F.length(c).cast("bigint") % 64, 58), 2)):
+        texts = table.unionByName(table.filter("id < 50")).withColumns({"h": hash_of(F.col("text")), "digest": F.sha2("text", 256)})
+        classes = texts.groupBy("h", "digest").agg(F.count("*").alias("rows"), F.max("id").alias("keep_id"))
+        directory, depth = exact_dedup.build_directory(spark, classes.select("h"), capacity, 32)
+        assert depth > 2 and directory.count() == 1 << depth and directory.select("bucket").distinct().count() > 4
+        index = exact_dedup.chained(texts, classes, directory, depth, texts.count()).collect()
+        want = Counter(r.text for r in texts.collect())
+        assert Counter(r.group_size for r in index) == Counter(want.values())
+        assert not any(r.clash for r in index)
+        by_hash = {}
+        for r in index:
+            by_hash.setdefault(r.h, []).append(r.chain)
+        assert all(sorted(c) == list(range(1, len(c) + 1)) for c in by_hash.values())
+        cells = {c: (b, o) for c, b, o in directory.select("cell", "bucket", "owner").collect()}
+        assert all(cells[(r.h & (1 << 64) - 1) >> (64 - depth)] == (r.bucket, r.owner) for r in index)
+    assert max(len(c) for c in by_hash.values()) > 1
