@@ -529,7 +529,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     now = labelled(links)
     largest = now.groupBy("grp", "tag").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "tag")).tag.alias("largest"))
     outside = now.join(largest, "grp").filter("tag <> largest").drop("largest")
-    asked = outside.withColumns({"chunk": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)), "role": F.lit(1)})
+    # Linked sets share a prefix n-gram, so a class asks the chunks that hold one of its own, but not the chunk it is in.
+    holding = prefix.join(now.select("cid", "chunk"), "cid").select("gram", "chunk").distinct()
+    asks = prefix.join(outside.select("cid", F.col("chunk").alias("home")), "cid").join(holding, "gram").filter("chunk <> home")
+    asked = outside.drop("chunk").join(asks.select("cid", "chunk").distinct(), "cid").withColumn("role", F.lit(1))
     last = _tree_round(now.unionByName(asked.select(*now.columns)), parts, percent, "ngram-links")
     return links.unionByName(last)
 

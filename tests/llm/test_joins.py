@@ -32,7 +32,7 @@ def brute_join(docs):
     for i, (_, s) in enumerate(sets):
         for g in s:
             lists[g].append(i)
-    pairs = {(i, j) for ids in lists.values() if len(ids) < 400 for i in ids for j in ids if i < j}
+    pairs = {(i, j) for ids in lists.values() for i in ids for j in ids if i < j}
     for i, j in pairs:
         a, b = sets[i][1], sets[j][1]
         if 100 * len(a & b) >= 80 * len(a | b):
@@ -88,6 +88,35 @@ def test_join_fixture(spark, sizes):
     assert got == brute_join(docs)
 
 
+def test_join_one_large_group(spark):
+    """Hundreds of classes that share prefix n-grams, in chunks of 3: near copies of one text, and a chain that drifts away from it."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    texts = []
+    for _ in range(250):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    for at in range(0, 60, 2):
+        base[at] = f"y{at}"
+        texts.append(" ".join(base))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = {tuple(r) for r in ngram_join.similar_documents(df, chunk_sets=3).collect()}
+    assert got == brute_join(docs) and len({c for _, _, c in got}) > 1
+
+
+def test_join_edges(spark):
+    """Null ids and texts, repeated rows, clashing column names, a text of a million bytes, an empty table."""
+    long = " ".join(f"t{i}" for i in range(150_000))
+    rows = [(1, long, 0), (2, long + " end", 0), (None, "a b c d e f", 0), (None, None, 1), (3, "a b c d e f", 1), (3, "a b c d e f", 1), (4, "", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cid int").withColumns({"grams": F.lit("x"), "component_id": F.lit(9)})
+    got = Counter(tuple(r) for r in ngram_join.similar_documents(df).collect())
+    assert got == Counter([(1, 149_996, 1), (2, 149_997, 1), (None, 2, 3), (None, 0, None), (3, 2, 3), (3, 2, 3), (4, 0, 4)])
+    assert ngram_join.similar_documents(df.filter("false")).collect() == []
+
+
 def test_one_of_each_ids(spark):
     """Null ids stay unless a row with an id is similar; of repeated ids only the row chosen for its group stays."""
     rng = random.Random(8)
@@ -120,6 +149,28 @@ def test_cut_fixture(spark, shard):
     assert got == brute_cut(docs, 64)
 
 
+@pytest.mark.parametrize("shard", [1 << 21, 900])
+def test_cut_also(spark, shard):
+    """Bytes of a lesser length are counted beside those removed, whether an anchor has one shard or many."""
+    docs = fixture(random.Random(6))
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    rows = suffix_dedup.remove_repeats(df, length=96, also=48, shard_bytes=shard).collect()
+    assert sorted(tuple(r)[1:6] for r in rows) == brute_cut(docs, 96)
+    assert sorted((r.doc_id, r.n_repeated_48) for r in rows) == sorted((r[0], r[2]) for r in brute_cut(docs, 48))
+
+
+def test_cut_edges(spark):
+    """Null ids and texts, repeated rows, clashing column names, a text of a million bytes, bytes of value 0."""
+    rng = random.Random(9)
+    long = " ".join(f"t{rng.randrange(10**9)}" for _ in range(100_000))
+    rows = [(1, long), (2, "start " + long[500_000:500_600] + " stop"), (None, None), (None, "x" * 399), (3, "\0" * 800), (3, "\0" * 800), (4, "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"rid": F.lit("r"), "block": F.lit(1), "h": F.lit(None).cast("int")})
+    got = Counter(tuple(r)[1:4] for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == Counter([(1, len(long), 600), (2, 611, 600), (None, 0, 0), (None, 399, 0), (3, 800, 800), (3, 800, 800), (4, 0, 0)])
+    cut = suffix_dedup.cut_documents(df)
+    assert cut.columns == df.columns and Counter(r.text for r in cut.collect() if r.doc_id != 1) == Counter(["start  stop", "", "x" * 399, "", "", ""])
+
+
 def test_cut_empty(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
