@@ -1,4 +1,9 @@
-"""A training corpus from documents: quality, exact copies, near copies, repeated passages, packed sequences."""
+"""A training corpus from documents: quality, exact copies, near copies, repeated passages, packed sequences.
+
+Null texts count as empty in every stage. Null ids stay as they are: a null id is the smallest to the exact dedup and
+the last to the n-gram join. Rows that are repeated whole are copies, of which one stays. All but the last stage keep
+the columns of their input, whatever their names; an empty table gives an empty one; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 

@@ -171,18 +171,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(bags, y, (weight / weight.mean()).astype(np.float32))
 
 
+def scores(model: dict, texts):
+    """Scores of texts, rounded to 6 places; equal texts get equal scores, whatever they stand beside.
+
+    Features follow from a passage alone. Sums of products differ by batch in their last bits, which in double precision
+    are far below the rounding.
+    """
+    import numpy as np
+
+    if "constant" in model:
+        return np.full(len(texts), model["constant"])
+    wide = {k: np.asarray(v, np.float64) for k, v in model.items()}
+    x, first = encode(*common.utf8_buffer(texts))
+    return np.round(forward(wide, x.astype(np.float64), first)[-1], 6)
+
+
 def _scored(model: dict):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for ids, texts in common.text_slices(batch.column("doc_id"), batch.column("text")):
-                if "constant" in model:
-                    score = np.full(len(ids), model["constant"])
-                else:
-                    score = forward(model, *encode(*common.utf8_buffer(texts)))[-1]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(scores(model, texts), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -190,14 +200,18 @@ def _scored(model: dict):
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score), one row per row of docs; nulls count as empty texts, whose score is the model's as well.
 
-    Equal texts may differ by rounding only. Repeated rows are scored each, other columns are ignored, an empty table
+    Equal texts have equal scores. Repeated rows are scored each, other columns are ignored, an empty table
     gives no rows; a text of any length is scored whole, in passages.
     """
     return common.source(docs, id_col, text_col).mapInArrow(_scored(model), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score reaches threshold."""
+    """The rows of docs, all columns, whose score reaches threshold.
+
+    Null and empty texts have the model's score of an empty text and stay or go by it. Ids decide nothing and may be
+    null; repeated rows stay or go together; an empty table gives none.
+    """
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -206,8 +220,7 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD, text_c
 
         for batch in batches:
             for rows, texts in common.text_slices(pa.array(np.arange(len(batch))), batch.column(text_col)):
-                value = np.full(len(rows), model["constant"]) if "constant" in model else forward(model, *encode(*common.utf8_buffer(texts)))[-1]
-                yield batch.slice(rows[0].as_py(), len(rows)).filter(pa.array(value >= threshold))
+                yield batch.slice(rows[0].as_py(), len(rows)).filter(pa.array(scores(model, texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

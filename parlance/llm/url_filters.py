@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sweeps of one reversed host are dealt over so many salts; rule events are repeated in each.
+#: Sweeps of one reversed host are dealt over so many salts, or the shuffle's partitions if these are more; rule events
+#: are repeated in each.
 SALTS = 64
 
 
@@ -59,6 +60,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     empty host and path and fit no rule, except one with an empty host. Repeated keys and repeated rows each keep
     their row; columns other than key and url are ignored, so their names cannot clash; an empty table gives none.
     """
+    salts = max(salts, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     host, path = url_parts(F.col(url))
     base = urls.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("rid"))
     labels = F.split("host", r"\.")
