@@ -15,15 +15,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int, merge: bool = False) -> DataFrame:
     """rows joined with classes (unique on keys; column `size` = number of rows of the class).
 
     Classes above total/HOT_CLASSES rows are at most HOT_CLASSES many, so they can be broadcast and their rows never
-    move; what remains has no hot key and takes an ordinary shuffle join.
+    move; what remains has no hot key and takes an ordinary shuffle join. With merge that join is a sort-merge join at
+    every size, also where the classes would be few enough to be broadcast.
     """
     limit = max(total // HOT_CLASSES, 64)
     hot = F.broadcast(classes.filter(F.col(size) > limit))
     cold = classes.filter(F.col(size) <= limit)
+    cold = cold.hint("merge") if merge else cold
     return (
         rows.join(hot, keys)
         .unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

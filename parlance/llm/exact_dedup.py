@@ -70,7 +70,7 @@ def chained(texts: DataFrame, classes: DataFrame, directory: DataFrame, depth: i
         return df.withColumn("cell", cell).join(F.broadcast(directory.select("cell", "bucket", "owner")), "cell").drop("cell").repartition(parts, "owner")
 
     several = classes.filter("rows > 1").select("h", "digest", "rows")
-    met = common.join_classes(texts, several, ["h", "digest"], "rows", total)
+    met = common.join_classes(texts, several, ["h", "digest"], "rows", total, merge=True)
     met = met.groupBy("h", "text", "digest", (F.spark_partition_id() % SALTS).alias("salt")).agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     chain = Window.partitionBy("owner", "bucket", "h").orderBy("text")
     fresh = F.when(F.col("text") == F.lag("text").over(chain), 0).otherwise(1)
