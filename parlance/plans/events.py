@@ -14,8 +14,11 @@ class EventLog:
     def __init__(self, level: str = "info", out: TextIO | None = None):
         self.least, self.out = LEVELS[level], out
 
+    def wants(self, level: str) -> bool:
+        return LEVELS[level] >= self.least
+
     def write(self, level: str, **entry: Any) -> None:
-        if LEVELS[level] < self.least:
+        if not self.wants(level):
             return
         now = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         print(json.dumps({"timestamp": now, "level": level, **entry}, default=str), file=self.out or sys.stderr, flush=True)

@@ -13,7 +13,7 @@ from ..operators.redact import pii_redact
 from ..shared import materialise
 from .config import Config, build_config, load_config
 from .errors import PipelineConfigError
-from .events import EventLog
+from .events import EventLog, safe_message
 from .registry import Registry
 from .steps import ACTION, DECISION, KEYS, SEGMENT, TOPIC, Run
 from .validate import validate_segments
@@ -46,7 +46,8 @@ class Engine:
         """Conversations in mode 'model', one record per transcript in mode 'simple'.
 
         Chunks of transcripts(transcript_id, text) go through the steps in order; a step that fails on a chunk gives it a
-        failed status, and the chunk goes on. Durations are not measured by row and are 0.
+        failed status, and the chunk goes on. Durations are not measured by row and are 0. transcript_id must be unique.
+        Events of the run count chunks by step and status; error messages of rows stay in the statuses and are not logged.
         """
         if self.config is None:
             self.config = load_config()
@@ -63,12 +64,34 @@ class Engine:
         for name, step in steps:
             if step.branches:
                 chunks = materialise(chunks, "chunks")
-            chunks = self._step(chunks, name, step, validation)
+            try:
+                chunks = self._step(chunks, name, step, validation)
+            except Exception as e:
+                log.write("error", event="step.unplanned", step=name, error=safe_message(e))
+                raise
             log.write("debug", event="step.planned", step=name)
-        result = self._merged(source, materialise(chunks, "chunks"))
-        log.write("info", event="pipeline.planned", steps=len(steps))
+        done = materialise(chunks, "chunks")
+        self._report(done, log, [name for name, _ in steps])
+        result = self._merged(source, done)
+        log.write("debug", event="merge.complete")
+        log.write("info", event="pipeline.complete", steps=len(steps))
         return result if (mode or config.mode) == "model" else result.to_records()
 
+    def _report(self, chunks: DataFrame, log: EventLog, names: list[str]) -> None:
+        """step.complete, step.failed and step.skipped events, with the numbers of chunks; one small job, and none if nothing would be written."""
+        if not log.wants("warn"):
+            return
+        counted = chunks.select(F.explode("statuses").alias("s")).groupBy("s.step", "s.status").count().collect()
+        counts, total = {(r[0], r[1]): r[2] for r in counted}, chunks.count()
+        for name in dict.fromkeys(names):
+            done, failed = counts.get((name, "success"), 0), counts.get((name, "failed"), 0)
+            if done:
+                log.write("info", event="step.complete", step=name, chunks=done)
+            if failed:
+                log.write("warn", event="step.failed", step=name, chunks=failed)
+            if done + failed < total:
+                log.write("warn", event="step.skipped", step=name, chunks=total - done - failed)
+
     def _redacted(self, source: DataFrame) -> DataFrame:
         privacy = self.config.privacy
         if not privacy.pii_redaction:
@@ -102,7 +125,7 @@ class Engine:
             errors = validate_segments(F.to_variant_object("segments"), step.input_schema)
             invalid = F.when(F.size(errors) > 0, F.concat(F.lit("Schema validation failed: "), F.array_join(errors, ", ")))
         held = held.withColumns({"_invalid": F.when(~F.col("stopped"), invalid), **{f"_was_{c}": F.col(c) for c in kept}})
-        ran = step.apply(held, Run(len(self.config.steps), self.unicode_aware))
+        ran = step.apply(held, Run(len(self.config.steps), self.unicode_aware, self.config.chunking.max_parallel))
         aside = F.col("stopped") | F.col("_invalid").isNotNull()
         error = F.coalesce("_invalid", "_error")
         status = F.struct(

@@ -31,6 +31,7 @@ class Run:
 
     total_steps: int
     unicode_aware: bool = False
+    max_parallel: int = 4
 
 
 class Step(ABC):
@@ -113,10 +114,11 @@ class _ModelStep(Step):
     def output_schema_version(self) -> str:
         return extract.SCHEMA_VERSION
 
-    def answered(self, chunks: DataFrame) -> DataFrame:
+    def answered(self, chunks: DataFrame, run: Run) -> DataFrame:
         """(keys, response_text, error), written once: the answers of outside calls must not be asked for twice."""
+        responses = self.responses.within(run.max_parallel) if hasattr(self.responses, "within") else self.responses
         asked = extract.requests(chunks.filter("not stopped and _invalid is null"), (self.kind,), self.max_segments)
-        return materialise(self.responses.respond(asked).select(*KEYS, "response_text", "error"), f"{self.kind}-responses")
+        return materialise(responses.respond(asked).select(*KEYS, "response_text", "error"), f"{self.kind}-responses")
 
     def finish(self, chunks: DataFrame, values: DataFrame, column: str) -> DataFrame:
         """chunks with column from values(keys, _value, _error), appended to what an array column holds."""
@@ -131,7 +133,7 @@ class Summarise(_ModelStep):
     kind = "summary"
 
     def apply(self, chunks: DataFrame, run: Run) -> DataFrame:
-        answered = self.answered(chunks).withColumnRenamed("error", "_asked")
+        answered = self.answered(chunks, run).withColumnRenamed("error", "_asked")
         parsed = extract.parse_summaries(answered)
         return self.finish(chunks, parsed.select(*KEYS, F.col("summary").alias("_value"), F.coalesce("_asked", "error").alias("_error")), "summary")
 
@@ -142,7 +144,7 @@ class _ItemStep(_ModelStep):
     parse: Callable = None
 
     def apply(self, chunks: DataFrame, run: Run) -> DataFrame:
-        answered = self.answered(chunks)
+        answered = self.answered(chunks, run)
         items = type(self).parse(answered, KEYS)
         fields = [f.split(":")[0] for f in self.item.removeprefix("struct<").removesuffix(">").split(",")]
         one = F.struct(*(F.col(f) if f in items.columns else F.lit(None).cast("string").alias(f) for f in fields))

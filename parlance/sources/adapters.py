@@ -9,7 +9,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, functions as F
@@ -145,15 +145,25 @@ def generate_with_retry(adapter: Adapter, request: Request, retries: int = RETRI
     raise AdapterError(f"LLM generation failed after {retries + 1} attempts: {type(last).__name__}: {last}")
 
 
+#: Calls at a time where neither the responses nor a configuration say.
+PARALLEL = 4
+
+
 @dataclass(frozen=True)
 class AdapterResponses:
-    """Answers a requests relation through an adapter, `parallel` calls at a time in each task; errors become rows."""
+    """Answers a requests relation through an adapter; errors become rows.
+
+    A task makes `parallel` calls at a time, as many as the configuration's maxParallel says where it is None.
+    """
 
     adapter: Adapter
     timeout_ms: int = TIMEOUT_MS
     retries: int = RETRIES
     delay_ms: int = DELAY_MS
-    parallel: int = 4
+    parallel: int | None = None
+
+    def within(self, max_parallel: int) -> AdapterResponses:
+        return self if self.parallel is not None else replace(self, parallel=max_parallel)
 
     def respond(self, requests: DataFrame, key: str = "transcript_id") -> DataFrame:
         ship(requests.sparkSession)
@@ -167,7 +177,7 @@ class AdapterResponses:
                 return None, None, str(e)
 
         def run(batches: Iterator) -> Iterator:
-            with ThreadPoolExecutor(me.parallel) as pool:
+            with ThreadPoolExecutor(me.parallel or PARALLEL) as pool:
                 for pdf in batches:
                     answers = list(pool.map(ask, pdf.itertuples(index=False)))
                     out = pdf[[key, "chunk_index", "schema_name"]].copy()

@@ -4,30 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: The sentences of made-up transcripts.
+#: Sentences of made-up transcripts; the two languages say the same.
 ENGLISH = (
-    "Alice opened the meeting and reviewed the agenda.",
-    "Bob suggested moving the deadline to Friday.",
-    "The team agreed to adopt PostgreSQL for primary storage.",
-    "Carol will update the API documentation by end of week.",
-    "Dave raised concerns about the current test coverage.",
-    "The budget for Q2 was approved at fifty thousand dollars.",
-    "Everyone agreed the onboarding process needs improvement.",
-    "The next sprint will focus on performance optimization.",
-    "Alice action item: schedule a follow-up meeting.",
-    "Bob will create a migration plan for the database.",
+    "Nora asked whether the harbour survey had arrived.",
+    "Tom said the divers would need two more days.",
+    "We chose the smaller crane for the north pier.",
+    "Lena will send the tide tables before Thursday.",
+    "Omar worries that the fog could delay the ferry.",
+    "The repair of the lighthouse costs nine thousand crowns.",
+    "Nobody objected to painting the boats green.",
+    "Next month the crew begins with the winter storage.",
+    "Task for Nora: call the insurance office.",
+    "Tom writes down which ropes have to be replaced.",
 )
 RUSSIAN = (
-    "Алиса открыла встречу и озвучила повестку дня.",
-    "Боб предложил перенести дедлайн на пятницу.",
-    "Команда решила использовать PostgreSQL как основную базу данных.",
-    "Карол обновит документацию по API до конца недели.",
-    "Дейв поднял вопрос о текущем покрытии тестами.",
-    "Бюджет на второй квартал был утверждён.",
-    "Все согласились, что процесс онбординга требует улучшения.",
-    "Следующий спринт будет сосредоточен на оптимизации производительности.",
-    "Задача Алисы: назначить встречу для обсуждения итогов.",
-    "Боб составит план миграции базы данных.",
+    "Нора спросила, пришёл ли отчёт о гавани.",
+    "Том сказал, что водолазам нужно ещё два дня.",
+    "Для северного причала мы выбрали меньший кран.",
+    "Лена пришлёт таблицы приливов до четверга.",
+    "Омар боится, что туман задержит паром.",
+    "Ремонт маяка стоит девять тысяч крон.",
+    "Никто не возразил против зелёных лодок.",
+    "В следующем месяце команда начнёт зимнее хранение.",
+    "Задача Норы: позвонить в страховую контору.",
+    "Том запишет, какие канаты надо заменить.",
 )
 PII = "Contact alice@example.com or call 555-123-4567 before the meeting. "
 

@@ -265,6 +265,36 @@ def test_pipeline(spark):
     assert result.get_step_status("late").count() == 1
     events = [json.loads(x) for x in log.getvalue().splitlines()]
     assert events[0]["event"] == "pipeline.start" and "secret" not in log.getvalue()
+    told = {(e["event"], e.get("step")): e.get("chunks") for e in events}
+    assert told["step.complete", "split"] == 3 and told["step.failed", "boom"] == 1 and told["step.complete", "boom"] == 2
+    assert told["step.skipped", "late"] == 2 and ("step.skipped", "split") not in told and events[-1]["event"] == "pipeline.complete"
+
+
+def test_parallel_and_failing_plan(spark):
+    """maxParallel bounds the calls of a task unless the responses say otherwise; a step that cannot be planned is logged without its message's tail."""
+    assert AdapterResponses(Echo()).within(7).parallel == 7 and AdapterResponses(Echo(), parallel=2).within(7).parallel == 2
+
+    class Broken(Step):
+        name = "broken"
+
+        def apply(self, chunks, run):
+            assert run.max_parallel == 9
+            raise ValueError("x" * 1000)
+
+    log = io.StringIO()
+    engine = Engine().configure({"schemaVersion": "1.0.0", "chunking": {"maxParallel": 9}, "pipeline": {"steps": [{"name": "b", "plugin": "broken"}]}}, log=log).register("broken", Broken())
+    with pytest.raises(ValueError):
+        engine.transform(from_texts(spark, ["a b."]))
+    last = json.loads(log.getvalue().splitlines()[-1])
+    assert last["event"] == "step.unplanned" and len(last["error"]) == 200
+
+
+def test_chunks_of_a_long_text(spark):
+    """20 000 words in one text, cut as the plain loop cuts them, in time linear in the text."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["a", "bb", "ccc", "d.", "e!"]) for _ in range(20_000))
+    got = [r.chunk_text for r in chunk.chunk_text(spark.createDataFrame([(1, text)], "id int, text string"), "text", 50, 10).orderBy("chunk_index").collect()]
+    assert got == chunk_plainly(text, 50, 10)
 
 
 def test_synthetic_and_builder(spark):
