@@ -26,7 +26,7 @@ from . import common
 LENGTH, K = 400, 64
 #: Bytes of a passage of about fifty words: what op8 reports beside LENGTH, and what the pipeline cuts.
 PASSAGE = 240
-SHARD, BLOCK, TEXT = 1 << 21, 1 << 18, 60_000
+SHARD, BLOCK, TEXT = 1 << 20, 1 << 18, 60_000
 
 
 # ---- anchors
@@ -438,7 +438,10 @@ def _found_batch(rows: list):
 
 
 def _shards(lengths: tuple, k: int, shard_bytes: int):
-    """Rows sorted by (h, shard): suffix arrays of as many whole (h, shard) groups as fit shard_bytes."""
+    """Rows sorted by (h, shard): suffix arrays of some whole (h, shard) groups at a time.
+
+    A task holds about 75 bytes for each byte of contexts, so groups are gathered up to half of shard_bytes only.
+    """
 
     def solve(groups):
         import numpy as np
