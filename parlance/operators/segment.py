@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import WS, collapse, fnv, js_trim, sentences
 
 MAX_LENGTH = 280
+#: Stands behind each character above U+FFFF while lengths are taken, so that they count UTF-16 units. A noncharacter.
+SECOND_UNIT, TWO_UNITS = "\uffff", r"[\x{10000}-\x{10FFFF}]"
 #: A speaker is a letter and up to 30 letters, digits, _ - . or spaces before the first colon that has text after it.
 SPEAKER = rf"^{WS}*([\p{{L}}][\p{{L}}0-9_\- .]{{0,30}}):{WS}*([^\n\r\x{{2028}}\x{{2029}}]+)\z"
 
@@ -23,11 +25,12 @@ def speaker_of(line: Column) -> Column:
 
 
 def split_long(c: Column, limit: int = MAX_LENGTH) -> Column:
-    """array<string>: the text itself up to `limit` characters, else its sentences packed up to limit.
+    """array<string>: the text itself up to `limit` UTF-16 units, else its sentences packed up to limit.
 
     A sentence above limit is cut into slices, but only when no shorter text is waiting before it; then it is emitted
-    whole, as the original does.
+    whole, as the original does. A character of two units that a cut would part stays whole in the earlier slice.
     """
+    c = F.regexp_replace(c, TWO_UNITS, "$0" + SECOND_UNIT)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("held"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -41,7 +44,7 @@ def split_long(c: Column, limit: int = MAX_LENGTH) -> Column:
         )
 
     done = F.aggregate(sentences(c), start, step, lambda acc: F.when(acc.held == "", acc.parts).otherwise(F.concat(acc.parts, F.array(acc.held))))
-    return F.when(F.length(c) <= limit, F.array(c)).otherwise(done)
+    return F.transform(F.when(F.length(c) <= limit, F.array(c)).otherwise(done), lambda s: F.regexp_replace(s, f"({TWO_UNITS}){SECOND_UNIT}|^{SECOND_UNIT}", "$1"))
 
 
 def segments_of(text: Column, chunk_index: Column, limit: int = MAX_LENGTH) -> Column:

@@ -32,3 +32,13 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote. Nothing still to be computed may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import sys
 
@@ -110,6 +111,22 @@ def test_segments(spark):
     ]
     alone = value(spark, segment.split_long(F.lit("x" * 600)))
     assert [len(x) for x in alone] == [280, 280, 40]
+    # Lengths are in UTF-16 units; a pair that a cut would part stays in the earlier slice.
+    assert [len(x) for x in value(spark, segment.split_long(F.lit("😀" * 300)))] == [140, 140, 20]
+    assert [x for x in value(spark, segment.split_long(F.lit("x" + "😀" * 200)))] == ["x" + "😀" * 140, "😀" * 60]
+    assert value(spark, segment.split_long(F.lit("😀" * 140))) == ["😀" * 140]
+    assert value(spark, segment.split_long(F.lit("😀" * 100 + ". " + "b" * 78 + "."))) == ["😀" * 100 + ".", "b" * 78 + "."]
+    assert value(spark, segment.split_long(F.lit("a\uffff😀\uffffb"))) == ["a\uffff😀\uffffb"]
+
+
+def test_discard(spark):
+    from parlance.shared import discard, materialise
+
+    kept, gone, none = (materialise(spark.range(n), "discard-test") for n in (3, 4, 0))
+    folder = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    discard(gone, none)
+    assert not os.path.exists(folder) and kept.count() == 3
 
 
 def test_deidentification(spark):
