@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..shared import materialise, shared_dir, shared_path  # noqa: F401  used by the operators
+from ..shared import discard, materialise, shared_dir, shared_path  # noqa: F401  used by the operators
 from ..shipping import ship
 
 #: A class with more rows than total/HOT_CLASSES is hot; there can be no more than HOT_CLASSES such classes.
@@ -35,8 +35,8 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Large-star / small-star rounds, each written to the shared folder. A hub's edges are only ever aggregated with
-    min(), which Spark combines before the shuffle; no neighbour list is collected anywhere.
+    Large-star / small-star rounds, each written to the shared folder and deleted after the next. A hub's edges are only
+    ever aggregated with min(), which Spark combines before the shuffle; no neighbour list is collected anywhere.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = materialise(e, tag)
@@ -45,11 +45,12 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour of a node goes to the node's minimum
-        e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(e.filter("a <> b").distinct(), tag)
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large.filter("a <> b").distinct(), tag)
+        discard(e)
         # small star: every smaller neighbour, and the node, goes to the minimum
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        star = e.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        star = large.join(low, "a")
         e = (
             star.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
@@ -57,12 +58,15 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
             .distinct()
         )
         e = materialise(e, tag)
+        discard(large)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return materialise(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), tag)
+    out = materialise(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), tag)
+    discard(e)
+    return out
 
 
 def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:

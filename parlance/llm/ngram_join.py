@@ -508,13 +508,15 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     lead = prefix.groupBy("gram").agg(F.min("cid").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     edges = prefix.join(lead, "gram").filter("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     groups = common.connected_components(edges, "ngram-groups").withColumnsRenamed({"node": "cid", "component": "grp"})
-    rows = common.materialise(sets.join(groups, "cid"), "ngram-candidates")
-    sizes = rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.size("grams")) / chunk_grams), F.ceil(F.count("*") / chunk_sets)).alias("chunks"))
-    rows = rows.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumns({"role": F.lit(0), "tag": F.col("cid")})
+    candidates = common.materialise(sets.join(groups, "cid"), "ngram-candidates")
+    sizes = candidates.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.size("grams")) / chunk_grams), F.ceil(F.count("*") / chunk_sets)).alias("chunks"))
+    rows = candidates.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumns({"role": F.lit(0), "tag": F.col("cid")})
     rows = common.materialise(rows, "ngram-chunks")
     links = _tree_round(rows, parts, percent, "ngram-links")
     many = rows.filter("chunks > 1").drop("tag")
+    common.discard(sets, candidates)
     if many.isEmpty():
+        common.discard(prefix, rows)
         return links
 
     def labelled(links):
@@ -534,6 +536,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, block_grams:
     asks = prefix.join(outside.select("cid", F.col("chunk").alias("home")), "cid").join(holding, "gram").filter("chunk <> home")
     asked = outside.drop("chunk").join(asks.select("cid", "chunk").distinct(), "cid").withColumn("role", F.lit(1))
     last = _tree_round(now.unionByName(asked.select(*now.columns)), parts, percent, "ngram-links")
+    common.discard(prefix, rows)
     return links.unionByName(last)
 
 
@@ -578,6 +581,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = classes.join(label, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("first").alias("first"))
     stay = heads.select("first.rid").unionByName(rows.filter("n = 0").select("rid"))
     stay = common.materialise(stay.withColumnRenamed("rid", rid), "ngram-stay")
+    common.discard(rows)
     return numbered.join(stay, rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

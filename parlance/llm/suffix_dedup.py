@@ -677,6 +677,7 @@ def remove_repeats(
     spots = spots.groupBy("block").agg(F.collect_list(F.struct("h", "spots")).alias("found"))
     places = texts.join(spots, "block").mapInArrow(_place_rows(length, least), PLACES)
     places = common.materialise(places, "suffix-places")
+    common.discard(anchored, again)
 
     rep = F.min(F.struct("block", "document", "first")).alias("rep")
     copies = places.groupBy("h", "digest").agg(F.sum("n").alias("copies"), F.count("*").alias("blocks"), *(F.max(c).alias(c) for c in ("size", "starts", "place")), rep)
@@ -700,6 +701,7 @@ def remove_repeats(
     by_context = copies.select("h", "digest", "blocks", "size", "starts", (F.col("copies") > 1).alias("whole")).join(ranges, ["h", "digest"], "left")
     by_context = by_context.filter("whole or ranges is not null")
     by_context = common.materialise(by_context, "suffix-found")
+    common.discard(copies, within)
     spans = common.join_classes(places.select("block", "h", "digest", "spots"), by_context, ["h", "digest"], "blocks", places.count())
     spans = spans.groupBy("block").agg(F.collect_list(F.struct("whole", "size", "starts", "ranges", "spots")).alias("found"))
     kind = RESULT + "".join(f", n_repeated_{n} long" for n in lengths[1:])
