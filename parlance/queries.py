@@ -49,14 +49,10 @@ def conversation_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segment.explode_segments(chunks, "transcript_id", "chunk_index").select("transcript_id", "chunk_index", "segment_index", "id", "text", "speaker_id")
 
 
-def first_words(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(X.words(c), 1, n), " ")
-
-
-def items(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    """Items of conversations: the first n words of each sentence of each turn, with metadata on some."""
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of conversations: the whole sentences of each turn, with metadata on some."""
     rows = turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), F.posexplode(X.sentences(F.col("text"))).alias("ord", "s"))
-    return with_metadata(rows, first_words(F.col("s"), n))
+    return with_metadata(rows, F.col("s"))
 
 
 def document_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,8 +71,8 @@ def with_metadata(rows: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def topics(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    return as_topics(items(spark, sf, n))
+def topics(spark: SparkSession, sf: str) -> DataFrame:
+    return as_topics(items(spark, sf))
 
 
 def as_topics(rows: DataFrame) -> DataFrame:
@@ -179,12 +175,12 @@ def q_chunks(source: str, size: int, overlap: int) -> str:
       FROM before JOIN allw USING (transcript_id))"""
 
 
-def q_items(n: int) -> str:
+def q_items() -> str:
     every = lambda k, of: f"CASE WHEN (turn + ord) % {of} = {k} THEN 'p' || (ord % 4) END"
     ss = q_sentences("text")
     return f"""
     sent AS (SELECT conv_id, turn, unnest({ss}) AS s, generate_subscripts({ss}, 1) - 1 AS ord FROM conversations),
-    items AS (SELECT conv_id AS transcript_id, turn AS chunk_index, ord, array_to_string(({q_words('s')})[1:{n}], ' ') AS text,
+    items AS (SELECT conv_id AS transcript_id, turn AS chunk_index, ord, s AS text,
       {every(0, 3)} AS assignee, {every(1, 5)} AS due_date, CASE WHEN ord % 2 = 0 THEN 'open' ELSE 'done' END AS status, {every(2, 7)} AS source_segment_id, {every(3, 4)} AS made_by,
       ((turn * 37 + ord * 11) % 100) / 100.0::DOUBLE AS relevance FROM sent)"""
 
@@ -371,9 +367,9 @@ def _chunks_of_conversations(spark, sf):
     return segment.split_segments(conversation_lines(spark, sf), F.col("text"))
 
 
-@query(f"WITH {q_segments(CONV)} SELECT transcript_id, {_RENDER} AS rendered FROM segs WHERE segment_index < 5 GROUP BY transcript_id")
+@query(f"WITH {q_segments(CONV)} SELECT transcript_id, {_RENDER} AS rendered FROM segs WHERE segment_index < 100 GROUP BY transcript_id")
 def render_segments(spark, sf):
-    return _chunks_of_conversations(spark, sf).select("transcript_id", extract.render_segments(F.col("segments"), 5).alias("rendered"))
+    return _chunks_of_conversations(spark, sf).select("transcript_id", extract.render_segments(F.col("segments")).alias("rendered"))
 
 
 _HEADS = ", ".join("('{}', '{}')".format(k, "\n".join((extract.OPENING, *v, extract.CLOSING)).replace("'", "''")) for k, v in extract.SHAPES.items())
@@ -438,17 +434,17 @@ def jaccard_pairs(spark, sf):
 
 
 def _summaries(spark, sf):
-    return turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("summary"))
+    return turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("summary"))
 
 
-@query("SELECT conv_id AS transcript_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 <> 3) AS summary FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS transcript_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
 def merge_concat_summary(spark, sf):
     return merge.concat_summaries(_summaries(spark, sf))
 
 
-@query(f"WITH {q_items(4)} SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY chunk_index, ord) - 1 AS position, text FROM items")
+@query(f"WITH {q_items()} SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY chunk_index, ord) - 1 AS position, text FROM items")
 def merge_concat_items(spark, sf):
-    return merge.concat_items(items(spark, sf, 4)).select("transcript_id", "position", "text")
+    return merge.concat_items(items(spark, sf)).select("transcript_id", "position", "text")
 
 
 
@@ -457,48 +453,51 @@ def q_first(form: str) -> str:
 
 
 
-@query(f"WITH {q_items(1)} {q_first(q_norm('text'))}")
+@query(f"WITH {q_items()} {q_first(q_norm('text'))}")
 def dedupe_actions(spark, sf):
-    return merge.dedupe(items(spark, sf, 1)).select("transcript_id", "chunk_index", "ord", "text")
+    return merge.dedupe(items(spark, sf)).select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"WITH {q_items(2)} {q_first(q_norm('text'))}")
+@query(f"WITH {q_items()} {q_first(q_norm('text'))}")
 def dedupe_decisions(spark, sf):
-    return merge.dedupe(items(spark, sf, 2)).select("transcript_id", "chunk_index", "ord", "text")
+    return merge.dedupe(items(spark, sf)).select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"""WITH {q_items(1)}, f AS (SELECT *, {q_norm('text')} AS form FROM items), p AS (SELECT transcript_id, form, min(chunk_index * 100000 + ord) AS place FROM f GROUP BY ALL),
+@query(f"""WITH {q_items()}, f AS (SELECT *, {q_norm('text')} AS form FROM items), p AS (SELECT transcript_id, form, min(chunk_index * 100000 + ord) AS place FROM f GROUP BY ALL),
 b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY transcript_id, form ORDER BY relevance DESC, chunk_index, ord) = 1)
 SELECT transcript_id, text AS label, relevance, row_number() OVER (PARTITION BY transcript_id ORDER BY place) - 1 AS position FROM b JOIN p USING (transcript_id, form)""")
 def dedupe_topics(spark, sf):
-    return merge.dedupe_topics(topics(spark, sf, 1)).select("transcript_id", "label", "relevance", "position")
+    return merge.dedupe_topics(topics(spark, sf)).select("transcript_id", "label", "relevance", "position")
 
 
-@query(f"WITH {q_items(4)}, {q_leaders('text', 0.75)} {q_semantic(['assignee', 'due_date', 'source_segment_id'])}")
+@query(f"WITH {q_items()}, {q_leaders('text', 0.75)} {q_semantic(['assignee', 'due_date', 'source_segment_id'])}")
 def semantic_actions(spark, sf):
-    return merge.semantic_actions(items(spark, sf, 4)).select("transcript_id", "chunk_index", "ord", "text")
+    return merge.semantic_actions(items(spark, sf)).select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"WITH {q_items(3)}, {q_leaders('text', 0.75)} {q_semantic(['made_by', 'source_segment_id'])}")
+@query(f"WITH {q_items()}, {q_leaders('text', 0.75)} {q_semantic(['made_by', 'source_segment_id'])}")
 def semantic_decisions(spark, sf):
-    return merge.semantic_decisions(items(spark, sf, 3)).select("transcript_id", "chunk_index", "ord", "text")
+    return merge.semantic_decisions(items(spark, sf)).select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"""WITH {q_items(2)}, {q_leaders('text', 0.5)}, t AS (SELECT transcript_id, leader, round(least(1.0, sum(relevance)), 6) AS relevance FROM led GROUP BY ALL),
+@query(f"""WITH {q_items()}, {q_leaders('text', 0.5)}, t AS (SELECT transcript_id, leader, round(least(1.0, sum(relevance)), 6) AS relevance FROM led GROUP BY ALL),
 b AS (SELECT * EXCLUDE relevance FROM led QUALIFY row_number() OVER (PARTITION BY transcript_id, leader ORDER BY led.relevance DESC, pos) = 1)
 SELECT transcript_id, text AS label, t.relevance, row_number() OVER (PARTITION BY transcript_id ORDER BY leader) - 1 AS position FROM b JOIN t USING (transcript_id, leader)""")
 def cluster_topics(spark, sf):
-    return merge.cluster_topics(topics(spark, sf, 2)).select("transcript_id", "label", F.round("relevance", 6).alias("relevance"), "position")
+    return merge.cluster_topics(topics(spark, sf)).select("transcript_id", "label", F.round("relevance", 6).alias("relevance"), "position")
 
 
-@query(f"""WITH joined AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 <> 3) AS text FROM conversations GROUP BY conv_id),
+@query(f"""WITH joined AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 items AS (SELECT conv_id AS transcript_id, 0 AS chunk_index, unnest({q_sentences('text')}) AS text, generate_subscripts({q_sentences('text')}, 1) AS ord FROM joined), {q_leaders('text', 0.8)}
 SELECT transcript_id, string_agg(text, ' ' ORDER BY pos) AS summary FROM led WHERE leader = pos GROUP BY transcript_id""")
 def summary_of_summaries(spark, sf):
     return merge.summary_of_summaries(_summaries(spark, sf))
 
 
-@query("SELECT conv_id AS transcript_id, role AS step, arg_max(CASE WHEN length(text) % 5 = 0 THEN 'failed' ELSE 'success' END, turn) AS status, arg_max(length(text)::BIGINT, turn) AS duration_ms FROM conversations GROUP BY ALL")
+_STATUSES = "SELECT conv_id AS transcript_id, role AS step, arg_max(CASE WHEN length(text) % 5 = 0 THEN 'failed' ELSE 'success' END, turn) AS status, arg_max(length(text)::BIGINT, turn) AS duration_ms FROM conversations GROUP BY ALL"
+
+
+@query(_STATUSES)
 def status_last_wins(spark, sf):
     status = F.when(F.length("text") % 5 == 0, "failed").otherwise("success")
     rows = turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("step"), status.alias("status"), F.length("text").cast("bigint").alias("duration_ms"))
@@ -508,45 +507,45 @@ def status_last_wins(spark, sf):
 # ---- reading and running
 
 
-@query(f"WITH {q_items(4)} SELECT transcript_id, chunk_index, ord, text FROM items WHERE status = 'done'")
+@query(f"WITH {q_items()} SELECT transcript_id, chunk_index, ord, text FROM items WHERE status = 'done'")
 def actions_by_status(spark, sf):
-    return read.actions(items(spark, sf, 4), status="done").select("transcript_id", "chunk_index", "ord", "text")
+    return read.actions(items(spark, sf), status="done").select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"WITH {q_items(4)} SELECT transcript_id, chunk_index, ord, text FROM items WHERE assignee = 'p1' AND status = 'done'")
+@query(f"WITH {q_items()} SELECT transcript_id, chunk_index, ord, text FROM items WHERE assignee = 'p1' AND status = 'done'")
 def actions_by_assignee(spark, sf):
-    return read.actions(items(spark, sf, 4), "done", "p1").select("transcript_id", "chunk_index", "ord", "text")
+    return read.actions(items(spark, sf), "done", "p1").select("transcript_id", "chunk_index", "ord", "text")
 
 
-@query(f"WITH {q_items(2)} SELECT transcript_id, text AS label, relevance, row_number() OVER (PARTITION BY transcript_id ORDER BY relevance DESC, chunk_index, ord) AS rank FROM items")
+@query(f"WITH {q_items()} SELECT transcript_id, text AS label, relevance, row_number() OVER (PARTITION BY transcript_id ORDER BY relevance DESC, chunk_index, ord) AS rank FROM items")
 def topics_by_relevance(spark, sf):
-    return read.topics_by_relevance(topics(spark, sf, 2)).select("transcript_id", "label", "relevance", "rank")
+    return read.topics_by_relevance(topics(spark, sf)).select("transcript_id", "label", "relevance", "rank")
 
 
-# ---- the same on whole sentences of documents
+# ---- the same on documents
 
 
-def on_documents(name: str, n: int, run: Callable[[DataFrame], DataFrame]) -> None:
-    """Register document_<name>: what `name` does to items of n words done to document_items, against the same SQL on them."""
+def on_documents(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    """Register document_<name>: what `name` does to items done to document_items, against the same SQL on them."""
 
     def whole(spark, sf):
         return run(document_items(spark, sf))
 
     whole.__name__ = f"document_{name}"
-    query(ORACLES[name].replace(q_items(n), q_document_items()))(whole)
+    query(ORACLES[name].replace(q_items(), q_document_items()))(whole)
 
 
 _PLACE = ("transcript_id", "chunk_index", "ord", "text")
-on_documents("merge_concat_items", 4, lambda i: merge.concat_items(i).select("transcript_id", "position", "text"))
-on_documents("dedupe_actions", 1, lambda i: merge.dedupe(i).select(*_PLACE))
-on_documents("dedupe_decisions", 2, lambda i: merge.dedupe(i).select(*_PLACE))
-on_documents("dedupe_topics", 1, lambda i: merge.dedupe_topics(as_topics(i)).select("transcript_id", "label", "relevance", "position"))
-on_documents("semantic_actions", 4, lambda i: merge.semantic_actions(i).select(*_PLACE))
-on_documents("semantic_decisions", 3, lambda i: merge.semantic_decisions(i).select(*_PLACE))
-on_documents("cluster_topics", 2, lambda i: merge.cluster_topics(as_topics(i)).select("transcript_id", "label", F.round("relevance", 6).alias("relevance"), "position"))
-on_documents("actions_by_status", 4, lambda i: read.actions(i, status="done").select(*_PLACE))
-on_documents("actions_by_assignee", 4, lambda i: read.actions(i, "done", "p1").select(*_PLACE))
-on_documents("topics_by_relevance", 2, lambda i: read.topics_by_relevance(as_topics(i)).select("transcript_id", "label", "relevance", "rank"))
+on_documents("merge_concat_items", lambda i: merge.concat_items(i).select("transcript_id", "position", "text"))
+on_documents("dedupe_actions", lambda i: merge.dedupe(i).select(*_PLACE))
+on_documents("dedupe_decisions", lambda i: merge.dedupe(i).select(*_PLACE))
+on_documents("dedupe_topics", lambda i: merge.dedupe_topics(as_topics(i)).select("transcript_id", "label", "relevance", "position"))
+on_documents("semantic_actions", lambda i: merge.semantic_actions(i).select(*_PLACE))
+on_documents("semantic_decisions", lambda i: merge.semantic_decisions(i).select(*_PLACE))
+on_documents("cluster_topics", lambda i: merge.cluster_topics(as_topics(i)).select("transcript_id", "label", F.round("relevance", 6).alias("relevance"), "position"))
+on_documents("actions_by_status", lambda i: read.actions(i, status="done").select(*_PLACE))
+on_documents("actions_by_assignee", lambda i: read.actions(i, "done", "p1").select(*_PLACE))
+on_documents("topics_by_relevance", lambda i: read.topics_by_relevance(as_topics(i)).select("transcript_id", "label", "relevance", "rank"))
 
 
 _SHAPE = """CASE doc_id % 4 WHEN 0 THEN '[{"id":"a","text":"t"}]' WHEN 1 THEN '[{"id":"a","text":123}]' WHEN 2 THEN '[{"id":"a"},{"text":"x"}]' ELSE '{"id":1}' END"""
@@ -560,18 +559,28 @@ def validate_segments(spark, sf):
     return rows.select("doc_id", F.array_join(segment_errors(F.col("segments"), _SCHEMA), ", ").alias("errors"))
 
 
-@query(f"""WITH {q_items(4)}, n AS (SELECT transcript_id, count(*) AS n_actions, string_agg(text, '|' ORDER BY chunk_index, ord) AS said FROM items GROUP BY ALL),
-s AS (SELECT conv_id AS transcript_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 4 <> 3) AS summary FROM conversations GROUP BY conv_id)
-SELECT transcript_id, summary, coalesce(n_actions, 0) AS n_actions, coalesce(said, '') AS said, false AS degraded FROM s LEFT JOIN n USING (transcript_id)""")
+@query(f"""WITH {q_items()}, n AS (SELECT transcript_id, count(*) AS n_actions, string_agg(text, '|' ORDER BY chunk_index, ord) AS said,
+    coalesce(string_agg(text || '@' || made_by, '|' ORDER BY chunk_index, ord), '') AS decided,
+    string_agg(text || '@' || (relevance * 100)::INT, '|' ORDER BY relevance DESC, chunk_index, ord) AS topics FROM items GROUP BY ALL),
+st AS ({_STATUSES}), steps AS (SELECT transcript_id, string_agg(step || '=' || status || ':' || duration_ms, '|' ORDER BY step) AS steps FROM st GROUP BY ALL),
+s AS (SELECT conv_id AS transcript_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id)
+SELECT transcript_id, summary, coalesce(n_actions, 0) AS n_actions, coalesce(said, '') AS said, coalesce(decided, '') AS decided, coalesce(topics, '') AS topics, coalesce(steps, '') AS steps, false AS degraded
+FROM s LEFT JOIN n USING (transcript_id) LEFT JOIN steps USING (transcript_id)""")
 def conversation_json(spark, sf):
-    acts = merge.concat_items(items(spark, sf, 4)).withColumn("id", F.lit("a"))
+    """Records with all their parts, through JSON and back; a decision is a sentence with made_by, a topic any sentence."""
+    acts = merge.concat_items(items(spark, sf)).withColumn("id", F.lit("a"))
+    found = merge.concat_items(topics(spark, sf))
+    status = status_last_wins(spark, sf).withColumns({"error": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
     whole = merge.concat_summaries(_summaries(spark, sf)).withColumn("degraded", F.lit(False))
-    none = topics(spark, sf, 2).filter("false").withColumn("position", F.lit(0))
-    status = acts.filter("false").select("transcript_id", F.lit("s").alias("step"), "status", F.lit(0).cast("bigint").alias("duration_ms"), F.lit("").alias("error"), F.lit("").alias("reason"))
-    record = read.Conversations(whole, acts, acts.filter("false"), none, status).to_json()
-    back = F.from_json("json", "summary string, actions array<struct<id:string,text:string>>, degraded boolean")
+    record = read.Conversations(whole, acts, acts.filter("made_by is not null"), found, status).to_json()
+    back = F.from_json("json", """summary string, actions array<struct<id:string,text:string>>, decisions array<struct<text:string,madeBy:string>>,
+        topics array<struct<label:string,relevance:double>>, stepStatuses map<string,struct<status:string,durationMs:bigint>>, degraded boolean""")
     return record.select("transcript_id", back.alias("r")).select(
-        "transcript_id", "r.summary", F.size("r.actions").cast("bigint").alias("n_actions"), F.array_join("r.actions.text", "|").alias("said"), "r.degraded"
+        "transcript_id", "r.summary", F.size("r.actions").cast("bigint").alias("n_actions"), F.array_join("r.actions.text", "|").alias("said"),
+        F.array_join(F.transform("r.decisions", lambda d: F.concat(d.text, F.lit("@"), d.madeBy)), "|").alias("decided"),
+        F.array_join(F.transform("r.topics", lambda t: F.concat(t.label, F.lit("@"), F.round(t.relevance * 100).cast("int"))), "|").alias("topics"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("r.stepStatuses")), lambda e: F.concat(e.key, F.lit("="), e.value.status, F.lit(":"), e.value.durationMs)), "|").alias("steps"),
+        "r.degraded",
     )
 
 
