@@ -438,4 +438,6 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(to_media(common.table(spark, sf_dir, "documents")))
+    """Digests of the JPEGs as reread from the written table; tensors are decoded row by row and not written."""
+    stored = common.materialise(to_media(common.table(spark, sf_dir, "documents")), "media")
+    return media_digests(stored)

@@ -62,6 +62,18 @@ def test_op5(spark, sf, docs):
         assert r.media_bytes > 0 and r.feature
 
 
+def test_op5_reads_stored_media(spark, sf):
+    from parlance.llm.media import Jpeg
+
+    result = QUERIES["op5_media_columns"](spark, sf)
+    files = result.inputFiles()
+    assert files and not any("documents" in f for f in files)
+    stored = {r.doc_id: bytes(r.media) for r in spark.read.parquet(*files).collect()}
+    for r in result.collect():
+        assert r.media_sha256 == hashlib.sha256(stored[r.doc_id]).hexdigest()
+        assert r.payload_sha256 == hashlib.sha256(Jpeg(stored[r.doc_id]).payload()).hexdigest()
+
+
 def test_op6(spark, sf, docs):
     import sentencepiece
 
