@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .functions import text as X
 from .operators import chunk, clean, deidentify, extract, merge, read, redact, segment
 from .plans.pipeline import Engine
-from .plans.steps import register_deterministic_steps, register_model_steps
+from .plans.steps import ColumnStep, register_deterministic_steps, register_model_steps
 from .plans.validate import validate_segments as segment_errors
 from .sources.adapters import ResponseTable
 from .sources.transcripts import from_table, from_turns
@@ -614,6 +614,108 @@ class Scripted(ResponseTable):
         return requests.select(key, "chunk_index", "schema_name", text.alias("response_text"), F.lit("scripted").alias("provider"), F.lit(None).cast("string").alias("error"))
 
 
+# ---- positions, pieces of a transcript, options, and the engine's other paths
+
+
+@query(rf"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '\b(?:\d{{4}}[-{_IN}]){{3}}\d{{4}}\b|\b\d{{3}}-\d{{2}}-\d{{4}}\b|(?i:\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b)|(?:\+?\d{{1,3}}[-.{_IN}]?)?(?:\(?\d{{2,4}}\)?[-.{_IN}]?)?\d{{3,4}}[-.{_IN}]?\d{{4}}\b') AS l FROM documents)
+SELECT doc_id, unnest(l) AS found, generate_subscripts(l, 1) - 1 AS pos FROM f""")
+def pii_offsets(spark, sf):
+    """What stands at the offsets of each match; they count UTF-16 units of the original text."""
+    both = documents(spark, sf).withColumn("original", F.encode("text", "UTF-16BE"))
+    found = redact.pii_redact(both, matches=True).select("doc_id", "original", F.posexplode("pii_matches").alias("pos", "m"))
+    there = F.col("original").substr(F.col("m.start") * 2 + 1, (F.col("m.end") - F.col("m.start")) * 2)
+    return found.select("doc_id", F.decode(there, "UTF-16BE").alias("found"), "pos")
+
+
+def _turn_segments(spark, sf) -> DataFrame:
+    """conversation_segments with a chunk for each turn."""
+    said = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    chunks = turns(spark, sf).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), said.alias("text"))
+    return segment.explode_segments(segment.split_segments(chunks, F.col("text")), "transcript_id", "chunk_index").select("transcript_id", "chunk_index", "segment_index", "id", "text", "speaker_id")
+
+
+@query(ORACLES["participants"])
+def participants_by_turn(spark, sf):
+    """Pseudonyms do not depend on how a transcript is cut: those of one chunk a turn are those of whole conversations."""
+    return deidentify.participants(_turn_segments(spark, sf)).select("transcript_id", "person", "alias")
+
+
+@query(ORACLES["deidentify_text"])
+def deidentify_by_turn(spark, sf):
+    done = deidentify.deidentify(_turn_segments(spark, sf))
+    place = F.row_number().over(Window.partitionBy("transcript_id").orderBy("chunk_index", "segment_index")) - 1
+    return done.select("transcript_id", place.alias("segment_index"), "text")
+
+
+@query(f"""SELECT doc_id, {q_collapse(q_no_times('text'))} AS no_times, {q_fillers('text')} AS no_fillers, {q_collapse(r"regexp_replace(regexp_replace(text, '\b(the|a.)\b', ' ', 'gi'), '[()\[\]]', ' ', 'g')")} AS own_fillers,
+coalesce(nullif({q_collapse(q_fillers(q_no_times('text')))}, ''), text, '') AS used FROM documents""")
+def clean_options(spark, sf):
+    text, options = F.col("text"), clean.CleanOptions
+    return documents(spark, sf).select(
+        "doc_id", clean.clean_text(text, options(remove_fillers=False)).alias("no_times"),
+        clean.clean_text(text, options(remove_timestamps=False, collapse_whitespace=False)).alias("no_fillers"),
+        clean.clean_text(text, options(remove_timestamps=False, fillers=("(the|a.)",))).alias("own_fillers"),
+        clean.source_text(clean.clean_text(text), text).alias("used"),
+    )
+
+
+_REDACTED_CHUNKS = q_chunks(DOCS.replace("coalesce(text, '')", q_redact("coalesce(text, '')")), 50, 10)
+
+
+@query(f"""WITH {_REDACTED_CHUNKS}, per AS (
+    SELECT transcript_id, chunk_index, 'check' AS step, CASE WHEN length(chunk_text) % 3 = 0 THEN 'length ' || length(chunk_text) END AS error FROM chunked
+    UNION ALL SELECT transcript_id, chunk_index, 'gate', CASE WHEN length(chunk_text) % 2 = 0 THEN 'even' END FROM chunked
+    UNION ALL SELECT transcript_id, chunk_index, 'after', NULL FROM chunked WHERE length(chunk_text) % 2 = 0)
+SELECT transcript_id::VARCHAR AS transcript_id, step, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error FROM per QUALIFY row_number() OVER (PARTITION BY transcript_id, step ORDER BY chunk_index DESC) = 1""")
+def step_statuses(spark, sf):
+    """A step that fails on some chunks, a terminal one that succeeds on some, and one after them that sees the rest."""
+    size = F.length("chunk_text")
+    engine = Engine().configure({
+        "schemaVersion": "1.0.0", "chunking": {"chunkSize": 50, "overlap": 10}, "logging": {"level": "error"},
+        "pipeline": {"steps": [{"name": "check", "plugin": "check"}, {"name": "gate", "plugin": "gate"}, {"name": "after", "plugin": "clean-text"}]},
+    })
+    register_deterministic_steps(engine.registry)
+    engine.register("check", ColumnStep("check", error=lambda: F.when(size % 3 == 0, F.concat(F.lit("length "), size))))
+    engine.register("gate", ColumnStep("gate", error=lambda: F.when(size % 2 == 0, "even"), ends=True))
+    result = engine.transform(from_table(documents(spark, sf), "doc_id", "text", []), mode="model")
+    found = [result.get_step_status(s) for s in ("check", "gate", "after")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("transcript_id", "step", "status", "error")
+
+
+@query(f"""WITH {_REDACTED_CHUNKS}, r AS (SELECT transcript_id, count(*) AS n FROM chunked GROUP BY ALL), w AS (SELECT doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN r ON r.transcript_id = d.doc_id)
+SELECT doc_id::VARCHAR AS transcript_id, CASE WHEN n > 0 THEN array_to_string(list_transform(range(0, least(n, 3)), lambda k: 'Chunk ' || k || ' done.'), ' ') END AS summary, n > 1 AS degraded,
+array_to_string(list_transform(range(0, least(n, 3)), lambda k: 'Do ' || k), '|') AS actions, array_to_string(list_transform(range(0, n), lambda k: 'Adopt ' || (k % 3)), '|') AS decisions FROM w""")
+def engine_merges(spark, sf):
+    """Merge strategies by step: folded summaries (degraded), deduplicated actions, and decisions with a strategy they lack."""
+    engine = Engine().configure({
+        "schemaVersion": "1.0.0", "chunking": {"chunkSize": 50, "overlap": 10}, "logging": {"level": "error"},
+        "pipeline": {"steps": [
+            {"name": "summarize", "plugin": "summarize-llm", "merge": "summarize-of-summaries"},
+            {"name": "actions", "plugin": "extract-actions-llm", "merge": "deduplicate"}, {"name": "decisions", "plugin": "extract-decisions-llm", "merge": "cluster"},
+        ]},
+    })
+    register_model_steps(engine.registry, Repeating())
+    result = engine.transform(from_table(documents(spark, sf), "doc_id", "text", []), mode="model")
+    listed = lambda df, name: df.groupBy("transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x.text), "|").alias(name))
+    out = result.get_summary().join(result.is_degraded(), "transcript_id")
+    out = out.join(listed(result.get_actions(), "actions"), "transcript_id", "left").join(listed(result.get_decisions(), "decisions"), "transcript_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("actions", "decisions")})
+
+
+class Repeating(ResponseTable):
+    """Answers that every third chunk repeats."""
+
+    def __init__(self):
+        super().__init__(None)
+
+    def respond(self, requests: DataFrame, key: str = "transcript_id") -> DataFrame:
+        at = (F.col("chunk_index") % 3).cast("string")
+        said = lambda before, after: F.concat(F.lit(before), at, F.lit(after))
+        text = F.when(F.col("schema_name") == "summary", said('{"summary":"Chunk ', ' done."}')).when(F.col("schema_name") == "actions", said('{"actions":[{"text":"Do ', '"}]}'))
+        text = text.otherwise(said('{"decisions":[{"text":"Adopt ', '"}]}'))
+        return requests.select(key, "chunk_index", "schema_name", text.alias("response_text"), F.lit("scripted").alias("provider"), F.lit(None).cast("string").alias("error"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, redacted and chunked."""
     return chunk.chunk_text(redact.pii_redact(documents(spark, sf)), "text", 50, 10).select("doc_id", "chunk_index", "chunk_text")
